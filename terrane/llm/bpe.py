@@ -17,6 +17,8 @@ from pathlib import Path
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from terrane.runtime import ship
+
 TOKENIZER_DIR = "/opt/tokenizers"
 # Fixed value: the published splitting pattern of this tokenizer.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -129,4 +131,5 @@ def encode_corpus(documents: DataFrame, folder: str = TOKENIZER_DIR, name: str =
                 ids = pa.array([enc.encode(t) for t in part.column(1).to_pylist()], pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), ids], ["doc_id", "ids"])
 
+    ship(documents.sparkSession)
     return documents.select("doc_id", "text").mapInArrow(run, "doc_id bigint, ids array<int>")

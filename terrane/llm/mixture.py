@@ -28,9 +28,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrane.llm.bpe import TOKENIZER_DIR
-from terrane.runtime import Scratch
+from terrane.runtime import Scratch, ship
 
 BLOCK = 2000
+LARGE = 0.005
 EPS = 1e-9
 
 
@@ -52,6 +53,7 @@ def sizes(documents: DataFrame, folder: str = TOKENIZER_DIR, name: str = "byte_b
                 n = [len(e.ids) for e in tok.encode_batch(texts, add_special_tokens=False)]
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), part.column(1), pa.array(n, pa.int64())], ["doc_id", "source", "n_tokens"])
 
+    ship(documents.sparkSession)
     return documents.select("doc_id", "source", "text").mapInArrow(run, "doc_id bigint, source string, n_tokens bigint")
 
 
@@ -140,15 +142,24 @@ def plan(documents: DataFrame, targets: DataFrame, total_tokens: int | None = No
     factor = F.least(F.col("goal") / F.col("whole") * total / F.col("size"), F.col("max_repeats").cast("double"))
     rows = rows.withColumn("total", total).withColumn("factor", F.when(usable, F.round(factor, 12)).otherwise(0.0))
     rows = scratch.save(rows.select("source", "target_share", "max_repeats", "size", "n_docs", "total", "factor"))
-    kept = docs.where("n_tokens > 0").join(rows.where("factor > 0").select("source", "factor", F.col("n_docs").alias("of")), "source")
+    kept = docs.where("n_tokens > 0").join(rows.where("factor > 0").select("source", "factor", "size", F.col("n_docs").alias("of")), "source")
     kept = kept.withColumn("base", F.floor("factor").cast("int")).withColumn("p", F.col("factor") - F.floor("factor"))
-    block = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.ceil(F.col("of") / BLOCK)).cast("int")
-    moving = kept.where("p > 0").select("source", block.alias("block"), "doc_id", "n_tokens", "p")
+    kept = kept.withColumn("large", F.col("n_tokens") > LARGE * F.col("factor") * F.col("size"))
     shape = "source string, block int, doc_id bigint, n_tokens bigint, p double"
+    # Documents that alone outweigh LARGE of their source's goal, fewer than 1 / (LARGE * factor) a source, are drawn
+    # first; the others' probability makes up for what came of it.
+    first = kept.where("large and p > 0").select("source", F.lit(-1).alias("block"), "doc_id", "n_tokens", "p")
+    first = scratch.save(first.groupBy("source", "block").applyInPandas(_fly(seed, True), shape))
+    drawn = first.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("p")).alias("drawn"))
+    small = kept.where("not large and p > 0").groupBy("source").agg(F.sum("n_tokens").alias("small"), F.max(F.col("p") * F.col("size")).alias("due"))
+    p_small = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("due") - F.coalesce("drawn", F.lit(0.0))) / F.col("small")))
+    anew = small.join(drawn, "source", "left").select("source", p_small.alias("p"))
+    block = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.ceil(F.col("of") / BLOCK)).cast("int")
+    moving = kept.where("not large and p > 0").drop("p").join(anew, "source").select("source", block.alias("block"), "doc_id", "n_tokens", "p")
     flown = scratch.save(moving.groupBy("source", "block").applyInPandas(_fly(seed, False), shape))
     # Two documents at most are left of a block; blocks of a source meet in groups until one is left.
     blocks = flown.where("p > 0 and p < 1").agg(F.max("block")).first()[0] or 0
-    done = flown.where("p = 1").select("doc_id")
+    done = flown.unionByName(first).where("p = 1").select("doc_id")
     rest = flown.where("p > 0 and p < 1")
     level = 1
     while blocks >= BLOCK // 2:
