@@ -94,6 +94,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, name: str):
+        ship(spark)
         self.spark, self.root, self.n = spark, f"{scratch_root(spark)}/terrane-{name}-{uuid.uuid4().hex[:12]}", 0
         self.paths: dict[int, str] = {}
         _LEFT.append((weakref.ref(spark), self.root))
