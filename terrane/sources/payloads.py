@@ -1,0 +1,111 @@
+"""Stored payloads as a source: lookup through the data source API, microdata pages, folders of files."""
+
+from __future__ import annotations
+
+import html
+from collections.abc import Iterator
+from html.parser import HTMLParser
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from terrane.functions.ident import pub_key, pub_parts, pub_text
+from terrane.runtime import table
+
+
+def lookup(spark: SparkSession, d: str) -> DataFrame:
+    """Per requested item: ok, not_found or invalid_request; a number not found is tried once without its kind."""
+    asked = table(spark, d, "ingest_item").select("id", "requested_key").distinct().withColumn("parts", pub_parts(F.col("requested_key"), strict=False))
+    asked = asked.select("id", "requested_key", pub_text(F.col("parts")).alias("key"), F.concat("parts.country", "parts.number").alias("bare"))
+    stored = table(spark, d, "patent_document").select(pub_key(F.col("publication"), F.col("publication_number_raw")).alias("pub"), "raw_record_id")
+    full = stored.where("pub is not null").groupBy("pub").agg(F.min("raw_record_id").alias("raw_record_id"))
+    bare = full.groupBy(F.regexp_replace("pub", "[A-Z][0-9]?$", "").alias("bare")).agg(F.min("pub").alias("fallback"))
+    got = asked.join(full.withColumnRenamed("pub", "key"), "key", "left").join(bare, "bare", "left")
+    outcome = F.when(F.col("key").isNull(), "invalid_request").when(F.col("raw_record_id").isNotNull(), "ok").when(F.col("fallback").isNotNull(), "ok_without_kind").otherwise("not_found")
+    return got.select("id", "key", "raw_record_id", "fallback", outcome.alias("outcome"))
+
+
+def scan_folder(spark: SparkSession, folder: str, pattern: str = "*.parquet") -> DataFrame:
+    """Files of a folder, also below it, with stem, length and hash of their content."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder)
+    name = F.element_at(F.split("path", "/"), -1)
+    return files.select(name.alias("file"), F.regexp_replace(name, r"\.[^.]*$", "").alias("stem"), "length", F.sha2("content", 256).alias("sha256"))
+
+
+def as_pages(docs: DataFrame) -> DataFrame:
+    """Documents as microdata pages (pub, page)."""
+    item = lambda name, c: F.when(c.isNotNull(), F.concat(F.lit(f'<span itemprop="{name}">'), F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit("</span>")))
+    body = F.concat_ws(
+        "", F.lit('<article itemscope itemtype="patent">'), item("publicationNumber", F.col("pub")), item("countryCode", F.col("office")), item("title", F.col("title")),
+        item("abstract", F.col("abstract")), item("publicationDate", F.col("publication_date").cast("string")), item("legalStatus", F.col("legal_status.status_raw")),
+        F.lit('<div itemscope itemprop="similar"><span itemprop="title">another</span></div></article>'),
+    )
+    return docs.select("pub", body.alias("page"))
+
+
+class _Props(HTMLParser):
+    """Texts of the itemprops whose nearest itemscope is the first one."""
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.stack: list[tuple[bool, str | None]] = []
+        self.props: dict[str, list[str]] = {}
+
+    def handle_starttag(self, tag, attrs):
+        a = dict(attrs)
+        scope = "itemscope" in a
+        prop = a.get("itemprop") if sum(s for s, _ in self.stack) == 1 and not scope else None
+        self.stack.append((scope, prop))
+        if prop:
+            self.props.setdefault(prop, []).append("")
+
+    def handle_endtag(self, tag):
+        if self.stack:
+            self.stack.pop()
+
+    def handle_data(self, data):
+        for _, prop in reversed(self.stack):
+            if prop:
+                self.props[prop][-1] += data
+                return
+
+
+PAGE = "pub string, title string, abstract string, publication_date date, legal_status string, quarantine string"
+
+
+def parse_page(page: str | None) -> dict:
+    """Fields of one page, or the reason it goes to quarantine."""
+    import datetime
+
+    p = _Props()
+    p.feed(page or "")
+    first = lambda k: next((" ".join(v.split()) for v in p.props.get(k, []) if v.strip()), None)
+    out = {"title": first("title"), "abstract": first("abstract"), "publication_date": None, "legal_status": first("legalStatus"), "quarantine": None}
+    number, country, at = first("publicationNumber"), first("countryCode"), first("publicationDate")
+    if not p.props:
+        out["quarantine"] = "no microdata"
+    elif not number or not country or not number.startswith(country):
+        out["quarantine"] = "publication and country differ"
+    if at:
+        try:
+            out["publication_date"] = datetime.date.fromisoformat(at)
+        except ValueError:
+            out["quarantine"] = out["quarantine"] or "date"
+    return out
+
+
+def parse_pages(pages: DataFrame) -> DataFrame:
+    """(pub, page) to fields and quarantine reason."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = {"title": pa.string(), "abstract": pa.string(), "publication_date": pa.date32(), "legal_status": pa.string(), "quarantine": pa.string()}
+        for b in batches:
+            rows = [parse_page(x) for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array([r[k] for r in rows], t) for k, t in kinds.items()]], ["pub", *kinds])
+
+    return pages.select("pub", "page").mapInArrow(run, PAGE)
+
+
+def unescape(text: str) -> str:
+    return html.unescape(text)
