@@ -472,7 +472,7 @@ def m_forward_citations(s, d):
     return forward(Context(s, d)).groupBy(b.alias("bin")).agg(_n("families"))
 
 
-_PRANK = """(SELECT {v}, CASE WHEN t > 1 THEN CAST(below AS DOUBLE) / (t - 1) ELSE 0.0 END AS p FROM (SELECT {v}, coalesce(sum(k) OVER (ORDER BY {v} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below, sum(k) OVER () AS t FROM (SELECT {v}, count(*) AS k FROM {t} GROUP BY 1)))"""
+_PRANK = """(SELECT {v}, CASE WHEN t > 1 THEN CAST(below AS DOUBLE) / (t - 1) ELSE 0.0 END AS p FROM (SELECT {v}, coalesce(sum(m) OVER (ORDER BY {v} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below, sum(m) OVER () AS t FROM (SELECT {v}, count(*) AS m FROM {t} GROUP BY 1)))"""
 
 
 def percent_rank(df: DataFrame, value: str) -> DataFrame:
