@@ -17,6 +17,7 @@ from terrane.plans.relational import _EDGES, _LINKS, edges, links
 from terrane.plans.tree import _ENTRIES as _TREE
 from terrane.runtime import Scratch, table
 from terrane.sources.titles import parents
+from terrane.streaming.events import resume, sessions, windows
 
 query = Registry()
 
@@ -386,4 +387,21 @@ def token_bucket(s, d):
     return e.groupBy("user_id").applyInPandas(run, "user_id bigint, event_id bigint, waited double")
 
 
+@query("SELECT CAST(date_trunc('hour', ts) AS VARCHAR) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def event_windows(s, d):
+    e = table(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return windows(e).select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n")
+
+
+@query()
+def event_sessions(s, d):
+    return sessions(table(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp")))
+
+
+@query(f"WITH {ITEMS} SELECT DISTINCT batch_id, requested_key FROM item i WHERE requested_key IS NOT NULL AND NOT EXISTS (SELECT 1 FROM item j WHERE j.batch_id = i.batch_id AND j.requested_key = i.requested_key AND j.outcome IN ('stored', 'duplicate', 'not_found'))")
+def resume_pending(s, d):
+    i = items(s, d)
+    return resume(i, i).where("requested_key is not null").select("batch_id", "requested_key")
+
+
 QUERIES, ORACLE = query.queries, query.oracle
