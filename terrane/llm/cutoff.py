@@ -45,9 +45,12 @@ WITH said AS (
 SELECT kind, text, concat(array('^', '^', '^', '^'), w) AS w FROM plain WHERE size(w) > 0
 """
 
-# {a}: the words before the last two, one of them for a trigram, three where two trigrams overlap to a longer context.
-# Words of the sentence before are left out.
-GRAM = "regexp_replace(array_join(slice(w, {i} - {reach}, {reach} - 1), ' '), '^.*(?=[.]( |$))', '')"
+# The words before the last two: one of them for a trigram, up to three where two trigrams overlap to a longer
+# context, which never reaches into the sentence before.
+BEFORE = {
+    2: "w[{i} - 3]",
+    4: "CASE WHEN w[{i} - 3] = '.' THEN '.' WHEN w[{i} - 4] = '.' THEN concat('. ', w[{i} - 3]) ELSE concat_ws(' ', w[{i} - 5], w[{i} - 4], w[{i} - 3]) END",
+}
 
 COUNTS_SQL = """
 SELECT kind, t.a AS a, t.b AS b, t.c AS c,
@@ -109,7 +112,7 @@ def judged(documents: DataFrame) -> DataFrame:
     words = scratch.save(spark.sql(WORDS_SQL, {"word": WORD, "behind": BEHIND, "markup": MARKUP}, texts=docs.groupBy("kind", "text").count().select("kind", "text")).selectExpr("kind", "xxhash64(text) AS h", "length(text) AS n", "w"))
     by_reach = []
     for reach in (2, 4):
-        gram = lambda i: GRAM.replace("{i}", i).replace("{reach}", str(reach))
+        gram = lambda i: BEFORE[reach].replace("{i}", i)
         finals = scratch.save(spark.sql(FINAL_SQL.replace("GRAM_END", gram("size(w)")), words=words))
         counts = spark.sql(COUNTS_SQL.replace("GRAM_I", gram("i")), words=words)
         counts = scratch.save(spark.sql(ASKED_SQL, counts=counts, finals=finals))
