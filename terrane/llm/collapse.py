@@ -20,7 +20,7 @@ HOT = 50_000
 
 def canonical(raw: Column) -> Column:
     """Canonical text of one spelling."""
-    marked = F.regexp_replace(F.upper(raw), r"([\p{L}]+)\s*[=:]\s*", "\u0001$1\u0002")
+    marked = F.regexp_replace(F.upper(raw), r"(?<!\p{L})(\p{L}++)\s*+[=:]\s*", "\u0001$1\u0002")
     parts = F.filter(F.split(marked, "\u0001"), lambda p: p.contains("\u0002"))
     neat = F.transform(parts, lambda p: F.regexp_replace(p, r"[^\p{L}\p{N}\x{2}]", ""))
     labelled = F.array_join(F.sort_array(neat), "\u0001")

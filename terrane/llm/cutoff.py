@@ -30,12 +30,12 @@ ENDS = 0.03
 OPEN_LEAST = 20
 
 WORD = r"[\p{L}\p{M}]+-[0-9]+|[\p{IsHan}\p{IsHiragana}\p{IsKatakana}ー]|[\p{L}\p{M}]+|[0-9]+(?:[.,][0-9]+)*|%|[.!?](?=[\s\"”»)\]]|$)|[。！？]|;"
-BEHIND = r"(?:\s|[\"'”»」』)]|\[(?:\.\.\.|…)\]|…|\.\.\.|&#?[A-Za-z0-9]{0,8}|\\(?:u[0-9A-Fa-f]{0,4}|[nrt])?|</?(?:[A-Za-z][^<>]*)?)+$"
-MARKUP = r"\\[nrt](?![A-Za-z])|&[A-Za-z]+;|&#[0-9]+;|</?[A-Za-z][^<>]*>"
+BEHIND = r"(?:\s|[\"'”»」』)]|\[(?:\.\.\.|…)\]|…|\.\.\.|&#?[A-Za-z0-9]{0,8}|\\(?:u[0-9A-Fa-f]{0,4}|[nrt])?|</?(?:[A-Za-z][^<>]{0,200})?){1,40}$"
+MARKUP = r"\\[nrt](?![A-Za-z])|&[A-Za-z]{1,30};|&#[0-9]{1,10};|</?[A-Za-z][^<>]{0,500}>"
 
 WORDS_SQL = """
 WITH said AS (
-  SELECT kind, text, regexp_extract_all(lower(regexp_replace(regexp_replace(text, :markup, ' '), :behind, '')), :word, 0) AS raw
+  SELECT kind, text, regexp_extract_all(lower(regexp_replace(regexp_replace(regexp_replace(text, :markup, ' '), '\\\\s+', ' '), :behind, '')), :word, 0) AS raw
   FROM {texts}
 ), plain AS (
   SELECT kind, text, transform(filter(raw, x -> x <> ';' OR kind = 'signs'),

@@ -313,12 +313,14 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def trie_join(keys: DataFrame, prefixes: DataFrame | None = None) -> DataFrame:
     """(family, a, b, role) of keys of one family within one error (role 1), and of keys below a prefix (role 2).
 
-    ``keys`` and ``prefixes`` have STRING columns family and key. Keys of 14 letters or fewer are dealt by 3
-    letters, those of 13 or more by 6, so keys one letter apart in length always share a way of dealing.
+    ``keys`` and ``prefixes`` have STRING columns family and key. Keys of 13 letters or more are dealt by 6
+    letters at either end, those of 7 to 14 by 3, of 3 to 7 by 1, the shortest together: one error leaves one
+    of the ends whole, and keys one letter apart in length always share a way of dealing.
     """
     n = F.length("key")
     piece = lambda p: F.array(F.concat(F.lit(f"<{p}"), F.col("key").substr(1, p)), F.concat(F.lit(f">{p}"), F.expr(f"right(key, {p})")))
-    pieces = F.concat(F.when(n <= 14, piece(3)).otherwise(F.array()), F.when(n >= 13, piece(6)).otherwise(F.array()))
+    level = lambda p, least, most: F.when(n.between(least, most), piece(p)).otherwise(F.array().cast("array<string>"))
+    pieces = F.array_distinct(F.concat(level(0, 1, 3), level(1, 3, 7), level(3, 7, 14), level(6, 13, 1 << 30)))
     dealt = keys.distinct().select("family", "key", F.explode(pieces).alias("piece"), n.alias("n"))
     roles = F.array(*[F.struct(F.lit(r).alias("role"), F.lit(d).alias("d")) for r, d in ((0, 0), (1, 0), (1, 1), (1, -1))])
     rows = dealt.select("family", "key", "piece", "n", F.explode(roles).alias("r")).select(
