@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import difflib
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terrane.functions.names import name_key
 from terrane.operators import audit, search
 from terrane.operators.graph import bfs, connected_components
 from terrane.operators.hierarchy import hierarchy
+from terrane.operators.similar import similar
 from terrane.plans.base import COPIES, ENTRIES, ITEMS, LATEST, copies, entries, items, latest
 from terrane.plans.registry import Registry
 from terrane.plans.relational import _EDGES, _LINKS, edges, links
@@ -262,19 +262,8 @@ def alias_conflicts(s, d):
 
 @query()
 def similar_pairs(s, d):
-    """Pairs of curated names with a similarity ratio of 0.88 or more, the length band being lossless for the ratio."""
-    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([round(difflib.SequenceMatcher(None, x, y).ratio(), 3) for x, y in zip(a, b)])
-
-    from terrane.functions.names import name_key
-
-    n = table(s, d, "name_key").select(name_key(F.col("raw")).alias("key")).where("key is not null").distinct()
-    n = n.select("key", F.split("key", " ")[0].alias("block"), F.length("key").alias("n"))
-    a, b = n.select(F.col("key").alias("a"), "block", F.col("n").alias("na")), n.select(F.col("key").alias("b"), "block", F.col("n").alias("nb"))
-    band = 2 * F.least("na", "nb") / (F.col("na") + F.col("nb")) >= 0.88
-    pairs = a.join(b, "block").where((F.col("a") < F.col("b")) & (band | F.col("b").startswith(F.concat("a", F.lit(" ")))))
-    scored = pairs.select("a", "b", F.pandas_udf(ratio, "double")("a", "b").alias("ratio"))
-    return scored.where((F.col("ratio") >= 0.88) | F.col("b").startswith(F.concat("a", F.lit(" "))))
+    """All pairs of name keys that look alike: the words of one begin the other, or the ratio is 0.88 or more."""
+    return similar(table(s, d, "name_key").select(name_key(F.col("raw")).alias("key")))
 
 
 # ---------------------------------------------------------------- discovery

@@ -205,3 +205,26 @@ def test_streams(spark, tmp_path):
     from terrane.streaming import events
 
     assert events.replay(spark, SF, str(tmp_path)).count() > 0
+
+
+@pytest.mark.parametrize("block", [4096, 7])
+def test_similar_pairs_equal_brute_force(spark, monkeypatch, block):
+    import difflib
+
+    from terrane.operators import similar
+
+    monkeypatch.setattr(similar, "BLOCK", block)
+    r = random.Random(block)
+    keys = ["andrew braeshoxnoxglus", "andtew braeshoxnoxglus", "deixge rgleis optics", "deixgergleis optics", "sony", "sony group", "sony group holding", "sonya", "戻り配管機", "戻り配管器", "ab" * 150, "ab" * 149 + "a"]
+    base = ["".join(r.choice("abcdeé ") for _ in range(r.randrange(3, 40))) for _ in range(40)]
+    keys += [" ".join(k.split()) for b in base for k in (b, b[1:], b[:5] + "x" + b[6:], b[3:] + b[:3], "zz" + b)]
+    keys = sorted({k for k in keys if k})
+    want = set()
+    for i, a in enumerate(keys):
+        for b in keys[i + 1 :]:
+            ratio = difflib.SequenceMatcher(None, a, b).ratio()
+            if ratio >= 0.88 or b.split()[: len(a.split())] == a.split():
+                want.add((a, b, round(ratio, 3)))
+    got = [tuple(x) for x in similar.similar(spark.createDataFrame([(k,) for k in [*keys, keys[0], None, ""]], "key string")).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert {("andrew braeshoxnoxglus", "andtew braeshoxnoxglus"), ("deixge rgleis optics", "deixgergleis optics"), ("sony", "sony group holding")} <= {(a, b) for a, b, _ in got}
