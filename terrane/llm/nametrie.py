@@ -2,7 +2,9 @@
 
 A raw name is read as an organisation (it has a legal form or a word for its trade) or a person, and cut down
 to what tells it apart: trade and legal words, titles, bracketed additions, case, accents and separators go;
-given names come to one form from nicknames and single typing errors; the order of the parts doesn't count.
+given names come to one form from nicknames and single typing errors. The order of the parts doesn't count: a
+name is walked in every order of its words (of more than four: each word first, the others sorted, so that an
+error within a word is still found), those of a person within surname and given names if it's told which is which.
 The keys are dealt to shards by trade, length and first or last letters. In a shard the keys make a trie, and
 each key walks it as a Levenshtein automaton (a swap of neighbours is one error) to all keys within one error.
 An error spares the beginning or the end of a key, so a pair always meets in one of its shards.
@@ -19,6 +21,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from itertools import permutations
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -65,7 +68,7 @@ OPEN_NICKS = {"ted": ("theodore", "edward")}
 LOOKS = str.maketrans({**CYRILLIC, **GREEK})
 PLAIN = str.maketrans({"ä": "ae", "ö": "oe", "ü": "ue", "ß": "ss", "æ": "ae", "ø": "oe", "å": "aa", "œ": "oe", "ł": "l", "đ": "d"})
 SPLIT = re.compile(r"[\s\-_/;:]+|(?<=,)|(?=,)")
-NAME = "uid string, kind string, trade string, key string, short boolean, family string, given string, initial string, middle string"
+NAME = "uid string, kind string, trade string, key string, short boolean, family string, given string, initial string, middle string, orders array<string>"
 
 
 def folded(text: str) -> str:
@@ -106,8 +109,15 @@ def _given(word: str) -> str | None:
     return full
 
 
+def orders(words: list[str]) -> list[tuple[str, ...]]:
+    """The words in every order; of more than four, as they are and with each word before the others sorted."""
+    if len(words) <= 4:
+        return list(permutations(words))
+    return [tuple(words), *[(w, *sorted(words[:i] + words[i + 1 :])) for i, w in enumerate(words)]]
+
+
 def read(raw: str | None) -> tuple | None:
-    """(kind, trade, key, short, family, given, initial, middle) of a raw name, None if it has no letter."""
+    """(kind, trade, key, short, family, given, initial, middle, keys in other orders) of a raw name, None if it has no letter."""
     if not raw:
         return None
     s = visible(raw)
@@ -142,11 +152,13 @@ def read(raw: str | None) -> tuple | None:
     names = [k for k in kept if k[0] != ","]
     if not names:
         rest = "".join(sorted(trades)) or "".join(folded(b) for low, b, _ in words if low != ",")
-        return ("o", "+".join(sorted(trades)), "=" + rest, False, None, None, None, None) if rest else None
+        return ("o", "+".join(sorted(trades)), "=" + rest, False, None, None, None, None, []) if rest else None
     trade = "+".join(sorted(trades))
     if org or len(names) == 1 and len(names[0][0]) > 1:
         short = any(p and len(w) < 7 for w, _, p in names)
-        return ("o" if org else "a", trade, "".join(w for w, _, _ in names), short, None, None, None, None)
+        key = "".join(w for w, _, _ in names)
+        others = {"".join(p) for p in orders([w for w, _, _ in names])} - {key}
+        return ("o" if org else "a", trade, key, short, None, None, None, None, sorted(others))
     return _person(kept, names)
 
 
@@ -158,8 +170,8 @@ def _person(kept: list, names: list) -> tuple | None:
     full = [k for k in names if not initials(*k)]
     inits = "".join(k[0] for k in names if initials(*k))
     if not full:
-        return ("a", "", inits, False, None, None, None, None)
-    family, given = [], []
+        return ("a", "", inits, False, None, None, None, None, [])
+    family, given, told = [], [], True
     before = [k for k in kept[:comma] if not initials(*k)] if comma is not None else []
     if before and len(before) < len(full):
         family, given = before, [k for k in full if k not in before]
@@ -173,22 +185,28 @@ def _person(kept: list, names: list) -> tuple | None:
         elif known:
             given = known[:1]
         else:
-            family = [max(full, key=lambda k: len(k[0]))]
+            family, told = [max(full, key=lambda k: len(k[0]))], False
         family = family or [k for k in full if k not in given]
         given = given or [k for k in full if k not in family]
     fam = "".join(k[0] for k in family)
     if given:
-        first = " ".join(k[0] for k in given)
-        first = _given(first) or first if first not in OPEN_NICKS else first
-        return ("p", "", f"{fam}|{first}", False, fam, first, first[0], inits[:1] or None)
-    return ("i", "", fam, False, fam, None, inits[:1] or None, inits[1:2] or None)
+        formal = lambda g: g if g in OPEN_NICKS else _given(g) or g
+        first = formal(" ".join(k[0] for k in given))
+        key = f"{fam}|{first}"
+        if told:
+            firsts = {formal(" ".join(p)) for p in orders([k[0] for k in given])}
+            others = {f"{''.join(p)}|{g}" for p in orders([k[0] for k in family]) for g in firsts}
+        else:  # the surname is guessed: it may be any of the words
+            others = {f"{p[0]}|{' '.join(p[1:])}" for p in orders([k[0] for k in full])}
+        return ("p", "", key, False, fam, first, first[0], inits[:1] or None, sorted(others - {key}))
+    return ("i", "", fam, False, fam, None, inits[:1] or None, inits[1:2] or None, [])
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = [pa.string()] * 4 + [pa.bool_()] + [pa.string()] * 4
+    kinds = [pa.string()] * 4 + [pa.bool_()] + [pa.string()] * 4 + [pa.list_(pa.string())]
     for b in batches:
         rows = [(u, *r) for u, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if (r := read(raw)) is not None]
-        cols = list(zip(*rows)) if rows else [[]] * 9
+        cols = list(zip(*rows)) if rows else [[]] * 10
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], [x.split()[0] for x in NAME.split(", ")])
 
 
@@ -310,10 +328,10 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield batch()
 
 
-def trie_join(keys: DataFrame, prefixes: DataFrame | None = None) -> DataFrame:
+def trie_join(keys: DataFrame, prefixes: DataFrame | None = None, under: DataFrame | None = None) -> DataFrame:
     """(family, a, b, role) of keys of one family within one error (role 1), and of keys below a prefix (role 2).
 
-    ``keys`` and ``prefixes`` have STRING columns family and key. Keys of 13 letters or more are dealt by 6
+    All have STRING columns family and key; prefixes are looked for in ``under``, else in ``keys``. Keys of 13 letters or more are dealt by 6
     letters at either end, those of 7 to 14 by 3, of 3 to 7 by 1, the shortest together: one error leaves one
     of the ends whole, and keys one letter apart in length always share a way of dealing.
     """
@@ -330,7 +348,7 @@ def trie_join(keys: DataFrame, prefixes: DataFrame | None = None) -> DataFrame:
         start = lambda p: F.concat_ws("\t", "family", F.concat(F.lit(f"={p}"), F.col("key").substr(1, p)))
         # Prefixes of fewer than 5 letters tell nothing apart.
         rows = rows.unionByName(prefixes.distinct().where(n >= 5).select(start(5).alias("shard"), "key", F.lit(2).alias("role")))
-        rows = rows.unionByName(keys.distinct().where(n >= 5).select(start(5).alias("shard"), "key", F.lit(0).alias("role")))
+        rows = rows.unionByName((keys if under is None else under).distinct().where(n >= 5).select(start(5).alias("shard"), "key", F.lit(0).alias("role")))
     placed = rows.repartition("shard").sortWithinPartitions("shard", "role")
     return placed.mapInArrow(_walk, "family string, a string, b string, role int").distinct()
 
@@ -348,20 +366,35 @@ def groups(name_key: DataFrame, alias_group: DataFrame | None = None) -> DataFra
     node = lambda fam, key: F.concat(F.lit("k"), fam, F.lit("|"), key)
 
     whole = names.where("kind in ('o', 'a', 'p') and not short")
-    keys = whole.select(family.alias("family"), "key")
-    short = names.where("short")
+    every_order = lambda df: df.select("uid", family.alias("family"), "key", F.explode(F.array_append("orders", F.col("key"))).alias("form"))
+    forms, short = every_order(whole), names.where("short")
+    short_forms = every_order(short)
+    # For prefixes, names as written and names in any order are families of their own.
+    loose = lambda df: df.select(F.concat(F.lit("~"), "family").alias("family"), F.col("form").alias("key"))
+    keys = forms.where("family <> 'a:'")
     surnames = names.where("family is not null").select(F.lit("s:").alias("family"), F.col("family").alias("key"))
-    near = scratch.save(trie_join(keys.where("family <> 'a:'").unionByName(surnames), short.select(family.alias("family"), "key")))
-    links = whole.select(F.col("uid").alias("a"), node(family, F.col("key")).alias("b"))
+    near = scratch.save(trie_join(
+        keys.select("family", F.col("form").alias("key")).unionByName(surnames),
+        short.select(family.alias("family"), "key").unionByName(loose(short_forms)), keys.select("family", "key").unionByName(loose(keys)),
+    ))
+    links = forms.select(F.col("uid").alias("a"), node(F.col("family"), F.col("form")).alias("b"))
     links = links.unionByName(near.where("role = 1 and family <> 's:'").select(node(F.col("family"), F.col("a")).alias("a"), node(F.col("family"), F.col("b")).alias("b")))
     first = scratch.save(connected_groups(links, scratch))
     root_of = lambda df: df.join(first.select(F.col("node").alias("uid"), "root"), "uid", "left").withColumn("root", F.coalesce("root", "uid"))
 
-    # Names with a shortened part: tied to the one entity that has keys below the prefix.
-    extended = near.where("role = 2").select("family", F.col("a").alias("key"), node(F.col("family"), F.col("b")).alias("uid"))
-    one = root_of(extended).groupBy("family", "key").agg(F.min("root").alias("x"), F.max("root").alias("y"))
-    shorts = short.select("uid", family.alias("family"), "key").join(one, ["family", "key"], "left")
-    more = shorts.select(F.col("uid").alias("a"), F.when(F.col("x") == F.col("y"), F.col("x")).otherwise(node(F.col("family"), F.col("key"))).alias("b"))
+    # Names with a shortened part: tied to the one entity that has keys below the prefix; if none has, words may change places.
+    below = near.where("role = 2").select("family", F.col("a").alias("key"), F.col("b"))
+    one = root_of(below.where("family not like '~%'").select("family", "key", node(F.col("family"), F.col("b")).alias("uid")))
+    one = one.groupBy("family", "key").agg(F.min("root").alias("x"), F.max("root").alias("y"))
+    moved = below.where("family like '~%'").select(F.expr("substring(family, 2)").alias("family"), F.col("key").alias("form"), "b")
+    moved = root_of(moved.select("family", "form", node(F.col("family"), F.col("b")).alias("uid"))).select("family", "form", "root").distinct()
+    moved = short_forms.select("family", "key", "form").distinct().join(moved, ["family", "form"])
+    moved = moved.groupBy("family", "key").agg(F.min("root").alias("x2"), F.max("root").alias("y2"))
+    shorts = short.select("uid", family.alias("family"), "key", "orders").join(one, ["family", "key"], "left").join(moved, ["family", "key"], "left")
+    to = F.when(F.col("x") == F.col("y"), F.col("x")).when(F.col("x").isNull() & (F.col("x2") == F.col("y2")), F.col("x2"))
+    more = shorts.select(F.col("uid").alias("a"), F.coalesce(to, node(F.col("family"), F.col("key"))).alias("b"))
+    same_words = node(F.concat(F.lit("~"), "family"), F.array_min(F.array_append("orders", F.col("key"))))
+    more = more.unionByName(shorts.select(F.col("uid").alias("a"), same_words.alias("b")))
 
     # Initials and nicknames of several names: candidates are persons of the same or a neighbouring surname.
     persons = root_of(names.where("kind = 'p'").select("uid", "family", "given", "initial", "middle"))

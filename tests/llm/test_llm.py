@@ -140,6 +140,22 @@ def test_names(spark):
     assert got == want
 
 
+def test_names_in_another_order(spark):
+    same = [
+        ["Alpha Beta Optics GmbH", "Beta Alpha Optics GmbH", "Optics, Betta Alpha"], ["Aiko Sato", "Sato Aiko"], ["Sato, Mai Rin", "Sato, Rin Mai"],
+        ["Gorvalum Tessik Brantor Foods AB", "Brantor Gorvalum Tesik Foods", "Tessik Brantorgorvalum Foods"], ["Nordholm Vinstrand Robotics", "Vin. Nordholm Robotics", "Nordholm Vin. Robotics"],
+        ["Aa Bbbb Cccc Dddd Eeee Foods AB", "Eeee Dddd Ccc Bbbb Aa Foods AB"],
+    ]
+    rows = [(i, raw) for i, raw in enumerate(r for g in same for r in g)]
+    got = {tuple(r) for r in nametrie.groups(spark.createDataFrame(rows, "name_id bigint, raw string")).collect()}
+    entity, at, seen = dict(got), 0, []
+    for g in same:
+        assert len({entity[at + i] for i in range(len(g))}) == 1, g
+        seen.append(entity[at])
+        at += len(g)
+    assert len(got) == len(rows) and len(set(seen)) == len(same)
+
+
 # ---------------------------------------------------------------- 6 groups
 
 
