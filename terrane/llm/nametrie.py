@@ -353,14 +353,21 @@ def trie_join(keys: DataFrame, prefixes: DataFrame | None = None, under: DataFra
     return placed.mapInArrow(_walk, "family string, a string, b string, role int").distinct()
 
 
-def groups(name_key: DataFrame, alias_group: DataFrame | None = None) -> DataFrame:
-    """(name_id, entity) of every name; entity is a label that all names of one person or organisation share."""
+def groups(name_key: DataFrame, alias_group: DataFrame | None = None, documents: DataFrame | None = None) -> DataFrame:
+    """(name_id, entity) of every name; entity is a label that all names of one person or organisation share.
+
+    With documents, their applicants' spellings are names too: (name_id, spelling, entity), name_id being null for these.
+    """
     scratch = Scratch(name_key.sparkSession, "names")
     raw = name_key.where("name_id is not null and raw is not null").select(F.concat(F.lit("n"), F.col("name_id").cast("string")).alias("uid"), "raw").distinct()
+    listed = raw.withColumnRenamed("raw", "spelling")
     if alias_group is not None:
         said = F.concat(F.array("canonical"), F.coalesce("variants", F.array().cast("array<string>")))
         alias = alias_group.where("group_id is not null").select(F.col("group_id").alias("g"), F.posexplode(said).alias("k", "raw")).where("raw is not null")
         raw = raw.unionByName(alias.select(F.concat_ws("_", F.lit("g"), F.col("g"), "k").alias("uid"), "raw").distinct())
+    if documents is not None:
+        said = documents.select(F.explode("applicants.name_raw").alias("raw")).where("raw is not null").distinct()
+        raw = raw.unionByName(said.select(F.concat(F.lit("s"), "raw").alias("uid"), "raw"))
     names = scratch.save(raw.mapInArrow(_parse, NAME))
     family = F.concat_ws(":", "kind", "trade")
     node = lambda fam, key: F.concat(F.lit("k"), fam, F.lit("|"), key)
@@ -423,8 +430,14 @@ def groups(name_key: DataFrame, alias_group: DataFrame | None = None) -> DataFra
     ring = names.where("uid like 'g%'").select(F.col("uid").alias("a"), F.concat(F.lit("x"), F.split("uid", "_")[1]).alias("b"))
     stars = first.select(F.col("node").alias("a"), F.col("root").alias("b"))
     final = connected_groups(stars.unionByName(more).unionByName(tied).unionByName(ring), scratch)
-    every = names.where("uid like 'n%'").select("uid")
-    return every.join(final, every["uid"] == final["node"], "left").select(F.expr("cast(substring(uid, 2) AS bigint)").alias("name_id"), F.coalesce("root", "uid").alias("entity"))
+    every = names.where("substring(uid, 1, 1) in ('n', 's')").select("uid")
+    told = every.join(final, every["uid"] == final["node"], "left").select("uid", F.coalesce("root", "uid").alias("entity"))
+    name_id = F.when(F.col("uid").startswith("n"), F.expr("try_cast(substring(uid, 2) AS bigint)")).alias("name_id")
+    if documents is None:
+        return told.select(name_id, "entity")
+    typed = told.where("uid like 's%'").select(name_id, F.expr("substring(uid, 2)").alias("spelling"), "entity")
+    listed = listed.join(told.dropDuplicates(["uid"]), "uid")
+    return listed.select(name_id, "spelling", "entity").unionByName(typed)
 
 
 def found(name_key: DataFrame, alias_group: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p4_found": _on("ingest_item", "patent_document", f=collapse.found),
         "p4_records": _on("ingest_item", "patent_document", f=collapse.records),
         "p5_found": _on("name_key", "alias_group", f=nametrie.found),
-        "p5_groups": _on("name_key", "alias_group", f=nametrie.groups),
+        "p5_groups": _on("name_key", "alias_group", "patent_document", f=nametrie.groups),
         "p6_found": _on("patent_document", f=forest.family_groups),
         "p6_keys": _on("patent_document", f=forest.family_keys),
         "p7_ids": _on("documents", f=bpe.encode_corpus),

@@ -156,6 +156,16 @@ def test_names_in_another_order(spark):
     assert len(got) == len(rows) and len(set(seen)) == len(same)
 
 
+def test_spellings_of_applicants_are_grouped(spark):
+    names = spark.createDataFrame([(1, "Gorvalum Tessik Optics GmbH"), (2, "Aiko Brantorsen")], "name_id bigint, raw string")
+    rows = [{"document_id": "a", "applicants": [("GORVALUM TESIK OPT.", "DE"), ("Gorvalum Tessik Optics GmbH", None), (None, None), (" ", None)]}, {"document_id": "b", "applicants": [("Nordholm Foods AB", None)] * 2}, {"document_id": "c"}]
+    got = nametrie.groups(names, None, docs(spark, rows)).collect()
+    entity = {(r.name_id, r.spelling): r.entity for r in got}
+    assert len(got) == 5 and set(entity) == {(1, "Gorvalum Tessik Optics GmbH"), (2, "Aiko Brantorsen"), (None, "Gorvalum Tessik Optics GmbH"), (None, "GORVALUM TESIK OPT."), (None, "Nordholm Foods AB")}
+    assert entity[1, "Gorvalum Tessik Optics GmbH"] == entity[None, "GORVALUM TESIK OPT."] == entity[None, "Gorvalum Tessik Optics GmbH"]
+    assert len(set(entity.values())) == 3
+
+
 # ---------------------------------------------------------------- 6 groups
 
 
