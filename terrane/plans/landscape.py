@@ -326,8 +326,11 @@ ch AS (SELECT run_id, seq, payload, k, repeat('0', 64) AS prev_hash, sha256(repe
   UNION ALL SELECT e.run_id, e.seq, e.payload, e.k, c.hash, sha256(c.hash || '|' || e.payload) FROM ch c JOIN ev e ON e.run_id = c.run_id AND e.k = c.k + 1)"""
 
 
-def _events(s, d):
-    e = table(s, d, "events").where("event_type = 'purchase'")
+def _events(s, d, only: str | None = "purchase"):
+    """Events as a chain takes them: of one type, as in the SQL of audit_chain and chain_verify, or all."""
+    e = table(s, d, "events")
+    if only is not None:
+        e = e.where(F.col("event_type") == only)
     return e.select(F.concat(F.lit("user_"), F.col("user_id").cast("string")).alias("run_id"), F.col("event_id").alias("seq"), F.concat_ws(":", "event_type", F.col("event_id").cast("string")).alias("payload"))
 
 
@@ -338,11 +341,26 @@ def audit_chain(s, d):
 
 @query(f"WITH RECURSIVE {_CHAIN} SELECT run_id, count(*) AS events, min(CASE WHEN k > 2 AND substr(run_id, -1) = '7' THEN seq END) AS first_bad FROM ch GROUP BY 1")
 def chain_verify(s, d):
+    return _tampered(_events(s, d))
+
+
+@query()
+def audit_chain_all(s, d):
+    """audit_chain over every event of every user; the recursive SQL is kept to purchases."""
+    return audit.chain(_events(s, d, None))
+
+
+@query()
+def chain_verify_all(s, d):
+    return _tampered(_events(s, d, None))
+
+
+def _tampered(events: DataFrame) -> DataFrame:
     """Runs ending in 7 are tampered with from their third event on; verification finds the first bad one."""
     from pyspark.sql import Window as W
 
     k = F.row_number().over(W.partitionBy("run_id").orderBy("seq"))
-    c = audit.chain(_events(s, d)).withColumn("k", k)
+    c = audit.chain(events).withColumn("k", k)
     bad = F.col("run_id").endswith("7") & (F.col("k") > 2)
     return audit.verify(c.withColumn("payload", F.when(bad, F.concat("payload", F.lit("!"))).otherwise(F.col("payload"))).drop("k"))
 

@@ -228,3 +228,20 @@ def test_similar_pairs_equal_brute_force(spark, monkeypatch, block):
     got = [tuple(x) for x in similar.similar(spark.createDataFrame([(k,) for k in [*keys, keys[0], None, ""]], "key string")).collect()]
     assert len(got) == len(set(got)) and set(got) == want
     assert {("andrew braeshoxnoxglus", "andtew braeshoxnoxglus"), ("deixge rgleis optics", "deixgergleis optics"), ("sony", "sony group holding")} <= {(a, b) for a, b, _ in got}
+
+
+def test_all_events_are_chained(spark):
+    import hashlib
+
+    rows = sorted((r.user_id, r.event_id, r.event_type) for r in spark.read.parquet(f"{SF}/events.parquet").select("user_id", "event_id", "event_type").collect())
+    want, last, nth, bad = set(), {}, {}, {}
+    for user, seq, kind in rows:
+        run, payload = f"user_{user}", f"{kind}:{seq}"
+        prev = last.get(run, audit.GENESIS)
+        last[run] = hashlib.sha256(f"{prev}|{payload}".encode()).hexdigest()
+        want.add((run, seq, payload, prev, last[run]))
+        nth[run] = nth.get(run, 0) + 1
+        if nth[run] == 3 and run.endswith("7"):
+            bad[run] = seq
+    assert {tuple(r) for r in entry.queries()["audit_chain_all"](spark, SF).collect()} == want and len(want) == len(rows)
+    assert {tuple(r) for r in entry.queries()["chain_verify_all"](spark, SF).collect()} == {(r, n, bad.get(r)) for r, n in nth.items()}
