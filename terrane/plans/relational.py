@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from terrane.functions.names import NAME_KEY_SQL, name_key
+from terrane.operators.similar import word_prefixes
 from terrane.plans.base import COPIES, ENTRIES, ITEMS, LATEST, copies, entries, items, latest
 from terrane.plans.registry import Registry
 from terrane.runtime import table
@@ -122,6 +123,14 @@ def similar_prefix_pairs(s, d):
     return a.join(b, (F.substring("a", 1, 10) == F.substring("b", 1, 10)) & (F.col("a") < F.col("b")) & F.col("b").startswith(F.col("a")))
 
 
+@query(f"""WITH k AS (SELECT DISTINCT {NAME_KEY_SQL.format('raw')} AS key FROM name_key),
+s AS (SELECT key AS b, string_split(key, ' ') AS w, unnest(range(1, len(string_split(key, ' ')))) AS n FROM k WHERE key IS NOT NULL)
+SELECT k.key AS a, s.b FROM s JOIN k ON k.key = array_to_string(w[1:n], ' ')""")
+def name_prefix_pairs(s, d):
+    """Keys of name_key whose words are the first words of another key."""
+    return word_prefixes(table(s, d, "name_key").select(name_key(F.col("raw")).alias("key")).where("key is not null").distinct())
+
+
 _EDGES = f"""{LATEST}, edge AS (SELECT DISTINCT pub AS a, m AS b FROM (SELECT pub, unnest(family_members) AS m FROM doc) WHERE m IS NOT NULL AND m <> pub)"""
 
 

@@ -245,3 +245,12 @@ def test_all_events_are_chained(spark):
             bad[run] = seq
     assert {tuple(r) for r in entry.queries()["audit_chain_all"](spark, SF).collect()} == want and len(want) == len(rows)
     assert {tuple(r) for r in entry.queries()["chain_verify_all"](spark, SF).collect()} == {(r, n, bad.get(r)) for r, n in nth.items()}
+
+
+def test_name_prefix_pairs(spark, tmp_path):
+    raws = ["Sony Corp.", "Sony Group", "SONY group holding Ltd", "Sonya", "Group", None, "Sony"]
+    spark.createDataFrame([(r,) for r in raws], "raw string").write.parquet(f"{tmp_path}/name_key.parquet")
+    got = sorted(tuple(r) for r in entry.queries()["name_prefix_pairs"](spark, str(tmp_path)).collect())
+    assert got == [("sony", "sony group"), ("sony", "sony group holding"), ("sony group", "sony group holding")]
+    said = compare(spark, duck(str(tmp_path)), "name_prefix_pairs", entry.queries()["name_prefix_pairs"], entry.oracle_sql()["name_prefix_pairs"], str(tmp_path))
+    assert said.startswith("ok"), said
