@@ -52,6 +52,30 @@ def test_majority_consensus_by_tokens():
     assert consensus.nearest(["x " * 3000, "x " * 2999 + "y"], [1, 1], False, cells=100) in (0, 1)
 
 
+def test_majority_of_many_equals_one_alignment():
+    r = random.Random(9)
+    for _ in range(150):
+        texts = list({" ".join(r.choice("abcd") for _ in range(r.randrange(1, 9))) for _ in range(r.randrange(2, 14))})
+        votes = sorted((r.randrange(1, 4) for _ in texts), reverse=True)
+        want = consensus.nearest(texts, votes, False)
+        assert consensus.nearest_of_many(zip(texts, votes), iter(texts)) == want and (want == 0 or 2 * votes[0] < sum(votes))
+
+
+def test_majority_of_a_large_group_counts_every_value(spark, monkeypatch):
+    monkeypatch.setattr(consensus, "BLOCK", 4)  # for the driver; workers keep theirs, so the group is larger than that too
+    r = random.Random(11)
+    texts = [" ".join(r.choice(("red", "blue", "big")) if i in (1, 4, 6) else f"w{i}" for i in range(8)) + f" x{k}" * (k % 3) for k in range(300)]
+    rows = [{"document_id": f"d{k:03d}", "publication_number_raw": "US1A", "title": t} for k, t in enumerate(texts)]
+    rows += [{"document_id": f"e{k}", "publication_number_raw": "EP2", "title": t} for k, t in enumerate(["one", "two", "two"])] + [{"document_id": "e0", "publication_number_raw": "EP2", "title": "one"}] * 5
+    votes = {}
+    for k, t in enumerate(texts):
+        votes.setdefault(t, []).append(f"d{k:03d}")
+    order = sorted(votes, key=lambda t: (len(votes[t]), max(votes[t])), reverse=True)
+    best = order[consensus.nearest(order, [len(votes[t]) for t in order], False)]
+    got = {x.publication_number: (x.value, x.document_id, x.votes) for x in consensus.survivors(docs(spark, rows), "majority").collect()}
+    assert got == {"US1A": (best, max(votes[best]), 300), "EP2": ("two", "e2", 3)}
+
+
 def test_empty_documents(spark):
     e = docs(spark, [])
     for f in (consensus.found, lookalike.found, forest.family_groups, forest.family_keys):
