@@ -76,6 +76,20 @@ def test_majority_of_a_large_group_counts_every_value(spark, monkeypatch):
     assert got == {"US1A": (best, max(votes[best]), 300), "EP2": ("two", "e2", 3)}
 
 
+def test_long_texts_are_aligned_too():
+    r = random.Random(13)
+    for _ in range(60):
+        a, b = ([r.randrange(6) for _ in range(r.randrange(30))] for _ in range(2))
+        part = consensus._aligned(a, np.array(b, dtype=np.int64), 20)
+        assert all(a[i] == b[j] for i, j in part) and all(p < q and x < y for (p, x), (q, y) in zip(part, part[1:]))
+        assert len(part) == len(consensus._match(a, np.array(b, dtype=np.int64)) if a and b else [])
+    words = [f"w{i}" for i in range(60)]
+    odd = lambda k: " ".join([*words[:k], "new", *words[k:]])
+    changed = [*words[:50], "no", *words[51:]]
+    texts = [" ".join(changed), odd(5), odd(7), odd(9)]
+    assert consensus.nearest(texts, [1] * 4, False) == consensus.nearest(texts, [1] * 4, False, cells=100)
+
+
 def test_empty_documents(spark):
     e = docs(spark, [])
     for f in (consensus.found, lookalike.found, forest.family_groups, forest.family_keys):
