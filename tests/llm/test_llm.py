@@ -147,13 +147,44 @@ def test_trie_walk_equals_brute_force():
         assert trie.near(w) == {x for x in words if nametrie.within_one(w, x)}
 
 
-def test_trie_join_loses_no_neighbour(spark):
+@pytest.mark.parametrize("hot", [None, 3])
+def test_trie_join_loses_no_neighbour(spark, hot):
     r = random.Random(7)
     words = ["".join(r.choice("ab") for _ in range(r.randrange(4, 18))) for _ in range(120)]
     words += [w[:-2] + w[-1] + w[-2] for w in words[:40]] + [w[1:] for w in words[40:80]]
     words = sorted(set(words))
-    got = {(x.a, x.b) for x in nametrie.trie_join(spark.createDataFrame([("f", w) for w in words], "family string, key string")).where("role = 1").collect()}
-    assert got == {(a, b) for a in words for b in words if a != b and nametrie.within_one(a, b)}
+    rows = spark.createDataFrame([("f", w) for w in words * 2], "family string, key string")
+    got = [(x.a, x.b) for x in nametrie.trie_join(rows, hot).collect()]
+    assert {tuple(sorted(p)) for p in got} == {(a, b) for a in words for b in words if a < b and min(len(a), len(b)) >= nametrie.MINIMUM and nametrie.within_one(a, b)}
+    assert len(got) == len(set(got))
+
+
+@pytest.mark.parametrize("hot", [None, 2])
+def test_prefixes_know_the_ends_below(spark, hot):
+    members = [("f", "abcdefgh", "r3"), ("f", "abcdefxx", "r1"), ("f", "abcdzz", "r9"), ("f", "xy", "r5"), ("f", "xyz", "r4"), ("g", "abcdefgh", "r0")]
+    asks = [("f", "abcdef"), ("f", "abcdexgh"), ("f", "abc"), ("f", "xy"), ("f", "q"), ("f", "qqqqqq")]
+    got = nametrie.prefix_join(spark.createDataFrame(asks * 2, "family string, key string"), spark.createDataFrame(members, "family string, key string, root string"), hot).collect()
+    assert {(x.key, x.x, x.y) for x in got} == {("abcdef", "r1", "r3"), ("abcdexgh", "r3", "r3"), ("abc", "r1", "r9"), ("xy", "r4", "r5")} and len(got) == 4
+
+
+def test_shortened_words():
+    yes = [("instr", "instruments", False), ("intl", "international", False), ("mfg", "manufacturing", False), ("labs", "laboratories", False), ("technology", "technologies", False), ("vlc", "volcanoworks", False), ("zor", "zorbing", True)]
+    no = [("zor", "zorbing", False), ("optics", "optics", True), ("o", "optics", True), ("mining", "metals", True), ("pro", "optics", True)]
+    assert all(nametrie.shortens(*y) for y in yes) and not any(nametrie.shortens(*n) for n in no)
+
+
+def test_words_of_names_are_learned(spark):
+    r = random.Random(8)
+    made = lambda: "".join(r.choice("bdfgklmnprst") + r.choice("aeiou") for _ in range(4)).capitalize()
+    raws = [f"{made()} {made()} {t}{r.choice([' Ltd', ' AG', ''])}" for t in ("Zorbing", "Quillery") for _ in range(60)] + [f"{r.choice(['Xanthippus', 'Yoruk'])} {made()}" for _ in range(80)]
+    raws += ["Kaluto Merigo Zorbing", "Kaluto Merigo Zorb. Ltd", "Merigo Kaluto Zrbng", "Kaluto Merigo Quillery"]
+    names = spark.createDataFrame(list(enumerate(raws)), "name_id bigint, raw string")
+    told = names.selectExpr("concat('n', name_id)", "raw").mapInArrow(nametrie._cut, nametrie.WORDS)
+    trades, given, sets = nametrie.learned(told)
+    assert trades == {"zorbing", "quillery"} and given == {"xanthippus", "yoruk"} and set(sets) >= {"zorbing", "quillery"}
+    entity = {r.name_id: r.entity for r in nametrie.groups(names).collect()}
+    a, b, c, d = (entity[i] for i in range(len(raws) - 4, len(raws)))
+    assert a == b == c != d
 
 
 def test_names(spark):
@@ -194,6 +225,26 @@ def test_names_in_another_order(spark):
     assert len(got) == len(rows) and len(set(seen)) == len(same)
 
 
+def test_names_of_words_never_heard_of(spark):
+    same = [
+        ["Brundage", "Brundige", "Brundage AG", "BRUNDAGE gmbh"], ["Kern Adler Optics", "Adler Kern Optics"], ["Volta Mueller Quxing", "Volta Mueller Quxing Inc", "Quxing Mueller Volta"],
+        ["Apex Widget Holdings", "Widget Holdings Apex"], ["Phoxwick Trane", "Foxwick Trane"], ["IBX"], ["IBY"],
+    ]
+    rows = [(i, raw) for i, raw in enumerate(r for g in same for r in g)]
+    entity, at, seen = {r.name_id: r.entity for r in nametrie.groups(spark.createDataFrame(rows, "name_id bigint, raw string")).collect()}, 0, []
+    for g in same:
+        assert len({entity[at + i] for i in range(len(g))}) == 1, g
+        seen.append(entity[at])
+        at += len(g)
+    assert len(set(seen)) == len(same)
+
+
+def test_pairs_of_a_large_entity_are_dealt_out(spark):
+    rows = spark.createDataFrame([(i, "Brundage AG") for i in range(40)], "name_id bigint, raw string")
+    got = nametrie.found(rows, spark.createDataFrame([], "group_id int, canonical string, variants array<string>"), hot=7).collect()
+    assert sorted(map(tuple, got)) == [(a, b) for a in range(40) for b in range(a + 1, 40)]
+
+
 def test_spellings_of_applicants_are_grouped(spark):
     names = spark.createDataFrame([(1, "Gorvalum Tessik Optics GmbH"), (2, "Aiko Brantorsen")], "name_id bigint, raw string")
     rows = [{"document_id": "a", "applicants": [("GORVALUM TESIK OPT.", "DE"), ("Gorvalum Tessik Optics GmbH", None), (None, None), (" ", None)]}, {"document_id": "b", "applicants": [("Nordholm Foods AB", None)] * 2}, {"document_id": "c"}]
