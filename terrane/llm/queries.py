@@ -57,10 +57,10 @@ vals AS (
 )"""
 
 P4_CANON = """
-CASE WHEN len(regexp_extract_all(upper(raw), '\\p{L}+\\s*[=:]\\s*')) >= 2 THEN
-  array_to_string(list_sort(list_transform(
-    list_filter(string_split(regexp_replace(upper(raw), '(\\p{L}+)\\s*[=:]\\s*', chr(1) || '\\1' || chr(2), 'g'), chr(1)), lambda p: contains(p, chr(2))),
-    lambda p: regexp_replace(p, '[^\\p{L}\\p{N}\\x02]', '', 'g'))), chr(1))
+CASE WHEN len(regexp_extract_all(upper(raw), '(?:^|[^\\p{L}\\p{N}])\\p{L}[\\p{L}\\p{N}]*\\s*[=:]')) >= 2 THEN
+  array_to_string(list_sort(list_filter(list_transform(
+    string_split(regexp_replace(upper(raw), '(^|[^\\p{L}\\p{N}])(\\p{L}[\\p{L}\\p{N}]*)\\s*[=:]', chr(1) || '\\2' || chr(2), 'g'), chr(1)),
+    lambda p: regexp_replace(p, '[^\\p{L}\\p{N}\\x02]', '', 'g')), lambda p: p <> '')), chr(1))
 ELSE regexp_replace(upper(raw), '[^\\p{L}\\p{N}]', '', 'g') END"""
 
 P4_ROWS = f"""

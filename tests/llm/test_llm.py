@@ -128,6 +128,14 @@ def test_collapse(spark):
     assert got == {("i00", "i01"), ("i00", "i02"), ("i00", "i03"), ("i04", "i05"), ("i09", "i10"), ("i11", "i12")}
 
 
+def test_text_before_labels_and_labels_with_digits(spark):
+    raws = ["Acme cc: US; num: 5", "Zeta cc: US; num: 5", "cc: US; num: 5", "ACME -- NUM = 5, CC = us", "p1=a;p2=b", "P2: B, P1: A", "p1=b;p2=a", "[cc=US num=5]"]
+    df = spark.createDataFrame([(f"i{k}", r) for k, r in enumerate(raws)], "id string, raw string")
+    assert {tuple(r) for r in collapse.copies(df, Scratch(spark, "t")).collect()} == {("i0", "i3"), ("i4", "i5"), ("i2", "i7")}
+    records = collapse.collapse(collapse.delivered(df), Scratch(spark, "t"))[0].collect()
+    assert len(records) == 5 and sum(r.n_copies for r in records) == 8
+
+
 def test_collapse_with_a_hot_spelling(spark, monkeypatch):
     monkeypatch.setattr(collapse, "HOT", 5)
     df = spark.createDataFrame([(f"i{k:03d}", "US1A" if k % 3 else f"us{k}") for k in range(300)], "id string, raw string")
