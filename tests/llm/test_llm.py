@@ -344,6 +344,17 @@ def test_cut_texts(spark):
     rows += [(1000 + i, whole[0] + " " + t, "src", "abstract", 0) for i, t in enumerate(cut)] + [(2000 + i, t, None, None if i else "abstract", 0) for i, t in enumerate(fine)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, source string, section string, h int")
     assert {x.doc_id for x in cutoff.found(df).collect()} == {1000, 1001, 1002, 1003}
+    many = [(5000, whole[0] + " The nozzle is fixed to the <" + "a" * 100_000, "src", "abstract", 0), (5001, whole[0] + ' " )' * 50_000, "src", "abstract", 0), (5002, "The seal is fixed" + " \n" * 100_000 + "to the", None, "abstract", 0)]
+    long = spark.createDataFrame(rows + many, df.schema)
+    assert {x.doc_id for x in cutoff.found(long).collect()} == {1000, 1001, 1002, 1003, 5000, 5002}
     by = {x.source: x for x in cutoff.by_source(df).collect()}
     assert by["src"].n_cut == 4 and by[None].n_cut == 0
     assert cutoff.found(df.where(F.lit(False))).count() == 0
+
+
+def test_title_words_decide_where_trigrams_are_few(spark):
+    ends = [f"a {x} {y}" for x in ("red", "blue", "green", "wide") for y in ("valve", "seal")] + ["two pumps"]
+    titles = [f"Device for metering {x} using {y}" for x in ends for y in ends]
+    titles = titles[:78] + ["Device for metering two pumps using a", "Device for metering a red seal using a"]
+    df = spark.createDataFrame([(i, t, "s", "title") for i, t in enumerate(titles)], "doc_id bigint, text string, source string, section string")
+    assert {x.doc_id for x in cutoff.found(df).collect()} == {78, 79}
