@@ -35,7 +35,9 @@ OPEN_LEAST = 20
 
 # Possessive throughout: no pattern looks twice at a run of signs, however long it is.
 CJK = r"\u3005\u3007\u3041-\u309f\u30a1-\u30fa\u30fc-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\x{20000}-\x{3ffff}"
-WORD = rf"[a-z\p{{L}}\p{{M}}&&[^{CJK}]]++(?:-[0-9]++)?+|[0-9]++(?:[.,][0-9]++)*+|[.!?](?=[\s\"”»)\]]|$)|[%;。！？]|[{CJK}]"
+SIGN_WORD = r"|[.!?](?=[\s\"”»)\]]|$)|[0-9]++(?:[.,][0-9]++)*+|[%;。！？]"
+WORD = r"[\p{L}\p{M}]++(?:-[0-9]++)?+" + SIGN_WORD
+CJK_WORD = rf"[a-z\p{{L}}\p{{M}}&&[^{CJK}]]++(?:-[0-9]++)?+{SIGN_WORD}|[{CJK}]"
 SIGNS = r"\s\"'”»」』)…"
 BEHIND = rf"(?<![{SIGNS}])(?:[{SIGNS}]|\.\.\.|\[(?:\.\.\.|…)\]|&#?+[A-Za-z0-9]{{0,31}}+|\\(?:u[0-9A-Fa-f]{{0,4}}+|[nrt])?+|</?+(?:[A-Za-z][^<>]*+)?+)++$"
 MARKUP = r"\\[nrt](?![A-Za-z])|&(?:[A-Za-z]++|#[0-9]++);|</?+[A-Za-z][^<>]*+>"
@@ -45,8 +47,10 @@ WITH said AS (
   SELECT kind, h, n, text, contains(text, '&') OR contains(text, '<') OR contains(text, chr(92)) AS marked FROM {texts}
 ), plain AS (
   SELECT kind, h, n, marked, lower(CASE WHEN marked THEN regexp_replace(text, :markup, ' ') ELSE text END) AS text FROM said
+), bare AS (
+  SELECT kind, h, n, CASE WHEN marked OR endswith(text, '...') OR right(text, 1) RLIKE :last THEN regexp_replace(text, :behind, '') ELSE text END AS text FROM plain
 ), raw AS (
-  SELECT kind, h, n, regexp_extract_all(CASE WHEN marked OR endswith(text, '...') OR right(text, 1) RLIKE :last THEN regexp_replace(text, :behind, '') ELSE text END, :word, 0) AS raw FROM plain
+  SELECT kind, h, n, CASE WHEN octet_length(text) > length(text) AND text RLIKE :cjk THEN regexp_extract_all(text, :cjk_word, 0) ELSE regexp_extract_all(text, :word, 0) END AS raw FROM bare
 )
 SELECT kind, h, n, concat(array('^', '^', '^', '^'), transform(CASE WHEN kind = 'signs' THEN raw ELSE array_remove(raw, ';') END,
          x -> CASE WHEN x IN ('!', '?', '。', '！', '？', ';') THEN '.' WHEN contains(x, '-') THEN '@' WHEN x >= '0' AND x < ':' THEN '0' ELSE x END)) AS w
@@ -129,7 +133,8 @@ def judged(documents: DataFrame, least: int = LEAST, ends: float = ENDS, open_le
     docs = spark.sql(KIND_SQL, {"letter": r"[\p{L}\p{N}]"}, documents=documents.select("doc_id", "source", "text", "section"))
     texts = docs.groupBy("kind", "text").agg(F.count("*").alias("many")).selectExpr("kind", "text", "xxhash64(text) AS h", "length(text) AS n")
     # Written before anything is asked of them: a condition on the words would be computed below the aggregate too.
-    words = scratch.save(spark.sql(WORDS_SQL, {"word": WORD, "behind": BEHIND, "markup": MARKUP, "last": rf"[{SIGNS}\]]"}, texts=texts))
+    patterns = {"word": WORD, "cjk_word": CJK_WORD, "cjk": f"[{CJK}]", "behind": BEHIND, "markup": MARKUP, "last": rf"[{SIGNS}\]]"}
+    words = scratch.save(spark.sql(WORDS_SQL, patterns, texts=texts))
     finals = scratch.save(spark.sql(FINAL_SQL, words=words))
     asked = scratch.save(spark.sql(ASKED_SQL, counts=spark.sql(COUNTS_SQL, words=words), finals=finals))
     title_words = scratch.save(spark.sql(TITLE_WORDS_SQL, words=words))
