@@ -52,6 +52,44 @@ def test_majority_consensus_by_tokens():
     assert consensus.nearest(["x " * 3000, "x " * 2999 + "y"], [1, 1], False, cells=100) in (0, 1)
 
 
+def _consensus_by_hand(values, votes):
+    """Every column of the same progressive alignment decided by counting, one after another."""
+    seqs, columns = [consensus.TOKEN.findall(v) for v in values], []
+    for k, seq in enumerate(seqs):
+        lead = [next(c[q] for q in range(k) if c[q] is not None) for c in columns]
+        best = [[0] * (len(seq) + 1) for _ in range(len(lead) + 1)]
+        for i in range(len(lead)):
+            for j in range(len(seq)):
+                best[i + 1][j + 1] = best[i][j] + 1 if lead[i] == seq[j] else max(best[i][j + 1], best[i + 1][j])
+        numbers = {t: n for n, t in enumerate(dict.fromkeys(lead + seq))}
+        pairs = consensus._match([numbers[t] for t in lead], np.array([numbers[t] for t in seq], dtype=np.int64)) if lead and seq else []
+        assert len(pairs) == best[-1][-1] and all(lead[i] == seq[j] for i, j in pairs) and all(p < q and x < y for (p, x), (q, y) in zip(pairs, pairs[1:]))
+        new, i, j = [], 0, 0
+        for pi, pj in [*pairs, (len(lead), len(seq))]:
+            n = min(pi - i, pj - j)
+            new += [columns[i + m][:k] + [seq[j + m]] for m in range(n)] + [columns[m][:k] + [None] for m in range(i + n, pi)] + [[None] * k + [seq[m]] for m in range(j + n, pj)]
+            if pi < len(lead):
+                new.append(columns[pi][:k] + [seq[pj]])
+            i, j = pi + 1, pj + 1
+        columns = new
+    far = [0] * len(values)
+    for c in columns:
+        count = {}
+        for token, v in zip(c, votes):
+            count[token] = count.get(token, 0) + v
+        chosen = max(count, key=lambda t: count[t])
+        far = [f + (t != chosen) for f, t in zip(far, c)]
+    return far.index(min(far))
+
+
+def test_consensus_equals_counting_by_hand():
+    r = random.Random(21)
+    for _ in range(1000):
+        texts = list({" ".join(r.choice("abcd") for _ in range(r.randrange(1, 10))) for _ in range(r.randrange(2, 9))})
+        votes = sorted((r.randrange(1, 4) for _ in texts), reverse=True)
+        assert consensus.nearest(texts, votes, False) == _consensus_by_hand(texts, votes)
+
+
 def test_majority_of_many_equals_one_alignment():
     r = random.Random(9)
     for _ in range(150):
