@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,48 +32,88 @@ SEARCHES = {
 }
 
 
+def newest_entries(s, d) -> DataFrame:
+    """The entries of the newest edition, before anything is built from them."""
+    e = table(s, d, "cpc_entry")
+    newest = e.agg(F.max("scheme_version").alias("scheme_version"))  # one row
+    return e.join(F.broadcast(newest), "scheme_version", "left_semi")
+
+
+def newest_tree(s, d) -> DataFrame:
+    """code and path of every entry of the newest edition that has a root."""
+    return hierarchy(newest_entries(s, d)).where("status = 'tree'").select(F.col("symbol").alias("code"), "path")
+
+
+def scheme_of(s, d, codes: list[str], tree: DataFrame | None = None) -> search.Scheme:
+    """What queries need to know of the newest edition; rows come for the codes asked, with their groups if a tree is given."""
+    e = newest_entries(s, d).where("symbol is not null")
+    version = e.agg(F.max("scheme_version")).first()[0]
+    found = e.where(F.col("symbol").isin(*codes)).groupBy("symbol").agg(F.max("kind").alias("kind"), F.max("dot_level").alias("level")).collect()
+    levels = {r.symbol: r.level if r.kind in ("main_group", "subgroup") else None for r in found}
+    levels |= {r.symbol: 0 for r in found if r.kind == "main_group"}
+    groups: dict[str, tuple[str, ...]] = {}
+    if tree is not None:
+        pos = e.groupBy(F.col("symbol").alias("code")).agg(F.min("pos").alias("pos"))
+        below = tree.where("code like '%/%'").select("code", F.explode("path").alias("at")).where(F.col("at").isin(*codes)).join(pos, "code")
+        for r in below.groupBy("at").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "code"))), lambda x: x["code"]).alias("codes")).collect():
+            groups[r["at"]] = tuple(r["codes"])
+    return search.Scheme(version, levels, groups)
+
+
 def records(s, d) -> DataFrame:
-    """Match records: the latest copies with the ancestors-or-self of their codes in the newest edition."""
-    tree = hierarchy(table(s, d, "cpc_entry")).where("status = 'tree'")
-    newest = table(s, d, "cpc_entry").agg(F.max("scheme_version").alias("scheme_version"))  # one row
-    tree = tree.join(F.broadcast(newest), "scheme_version").select(F.col("symbol").alias("code"), "path")
+    """Match records: the latest copies with the path of each of their codes in the newest edition, null if it has none."""
     doc = latest(s, d, "title", "abstract", "publication_date", "cpc")
-    codes = doc.select("pub", F.explode("cpc.code").alias("code")).join(tree, "code", "left")
-    codes = codes.groupBy("pub").agg(
-        F.array_distinct(F.flatten(F.collect_list(F.coalesce("path", F.array("code"))))).alias("codes"), F.bool_and(F.col("path").isNotNull()).alias("known")
-    )
+    codes = doc.select("pub", F.explode("cpc.code").alias("code")).where("code is not null").distinct().join(newest_tree(s, d), "code", "left")
+    codes = codes.groupBy("pub").agg(F.collect_list(F.struct("code", "path")).alias("codes"))  # the codes of one publication
     return doc.drop("cpc").join(codes, "pub", "left")
 
 
-_RECORDS = f"""{_TREE}, {LATEST}, tree AS (SELECT symbol AS code, path FROM walk WHERE NOT orphan AND scheme_version = (SELECT max(scheme_version) FROM cpc_entry)),
-code AS (SELECT pub, unnest(list_transform(cpc, lambda c: c.code)) AS code FROM doc),
-anc AS (SELECT pub, code, path, coalesce(path, [code]) AS p FROM code LEFT JOIN tree USING (code)),
-coded AS (SELECT pub, list_distinct(flatten(list(p))) AS codes, bool_and(path IS NOT NULL) AS known FROM anc GROUP BY pub),
-rec AS (SELECT doc.pub, office, publication_date AS at_, nullif(trim(title), '') AS t, nullif(trim(abstract), '') AS a, codes, known FROM doc LEFT JOIN coded USING (pub))"""
+_NEWEST = "(SELECT max(scheme_version) FROM cpc_entry)"
+_RECORDS = f"""{_TREE}, {LATEST}, tree AS (SELECT symbol AS code, path FROM walk WHERE NOT orphan AND scheme_version = {_NEWEST}),
+level AS (SELECT symbol, max(kind) AS kind, max(dot_level) AS dot_level FROM cpc_entry WHERE scheme_version = {_NEWEST} GROUP BY 1),
+code AS (SELECT DISTINCT pub, unnest(list_transform(cpc, lambda c: c.code)) AS code FROM doc),
+coded AS (SELECT pub, code, path FROM code LEFT JOIN tree USING (code) WHERE code IS NOT NULL),
+rec AS (SELECT pub, office, publication_date AS at_, nullif(trim(title), '') AS t, nullif(trim(abstract), '') AS a FROM doc)"""
+
+
+def _group_sql(code: str) -> str:
+    return f"TRY_CAST(regexp_extract({code}, '^.{{4}}([0-9]+)/', 1) AS INTEGER)"
+
+
+def _within_sql(symbol: str, code: str = "code", path: str = "path") -> str:
+    """``within`` in SQL; the level of the symbol is looked up in ``level``. ``symbol`` is an SQL expression."""
+    same = f"abs({_group_sql(code)} - {_group_sql(symbol)})"
+    return f"""CASE WHEN {path} IS NOT NULL THEN list_contains({path}, {symbol})
+      WHEN (SELECT bool_or(l.kind NOT IN ('main_group', 'subgroup')) FROM level l WHERE l.symbol = {symbol}) THEN starts_with({code}, {symbol})
+      WHEN left({code}, 4) <> left({symbol}, 4) THEN false
+      WHEN {same} = 0 AND (SELECT bool_or(l.kind = 'main_group' OR l.dot_level = 0) FROM level l WHERE l.symbol = {symbol}) THEN true
+      WHEN {same} IS NULL OR {same} IN (0, {search.INDEXING}) THEN NULL ELSE false END"""
 
 
 def _verdict_sql(q: search.LogicalQuery) -> str:
     date = f"at_ BETWEEN DATE '{q.date_from}' AND DATE '{q.date_to}'"
     pattern = search.boundary_pattern(q.phrases) if q.phrases else ""
     text = f"(regexp_matches(lower(t), '{pattern}') OR regexp_matches(lower(a), '{pattern}'))" if q.phrases else "true"
-    none = "coalesce(len(codes), 0) = 0"
-    code = f"CASE WHEN {none} THEN NULL WHEN list_has_any(codes, {list(q.cpc)}) THEN true WHEN known THEN false END" if q.cpc else "true"
-    offices = ", ".join(f"'{o}'" for o in q.offices)
+    asked = ", ".join(f"('{c}')" for c in q.cpc or ())
+    per_code = f"(SELECT pub, {_within_sql('symbol')} AS w FROM coded, (VALUES {asked}) AS v(symbol))" if q.cpc else "(SELECT pub, true AS w FROM coded)"
+    code = "CASE WHEN yes THEN true WHEN yes IS NULL OR open THEN NULL ELSE false END" if q.cpc else "true"
+    offices = f"coalesce(office IN ({', '.join(repr(o) for o in q.offices)}), false)" if q.offices else "true"
     return f"""SELECT pub, '{q.name}' AS query, coalesce(d AND x AND c AND inside, false) AS matched,
       CASE WHEN inside AND d IS DISTINCT FROM false AND x IS DISTINCT FROM false AND c IS DISTINCT FROM false AND (d AND x AND c) IS NULL THEN
         concat_ws('; ', CASE WHEN d IS NULL THEN 'no publication date' END,
           CASE WHEN x IS NULL THEN CASE WHEN t IS NULL AND a IS NULL THEN 'no title or abstract' WHEN t IS NULL THEN 'no title' ELSE 'no abstract' END END,
-          CASE WHEN c IS NULL THEN CASE WHEN {none} THEN 'no CPC codes' ELSE 'CPC codes not in the scheme' END END) END AS undecidable
-      FROM (SELECT *, {date} AS d, {text} AS x, {code} AS c, office IN ({offices}) AS inside FROM rec)"""
+          CASE WHEN c IS NULL THEN CASE WHEN yes IS NULL THEN 'no CPC codes' ELSE 'CPC codes not in ' || {_NEWEST} END END) END AS undecidable
+      FROM (SELECT *, {date} AS d, {text} AS x, {code} AS c, {offices} AS inside
+            FROM rec LEFT JOIN (SELECT pub, coalesce(bool_or(w), false) AS yes, bool_or(w IS NULL) AS open FROM {per_code} GROUP BY pub) USING (pub))"""
 
 
 def _searched(s, d, keys: list[str]) -> DataFrame:
     """One scan: a struct per query in an array, exploded."""
-    rec = records(s, d)
-    col = {c: F.col(c) for c in ("office", "publication_date", "title", "abstract", "codes", "known")}
+    rec, scheme = records(s, d), scheme_of(s, d, sorted({c for k in keys for c in SEARCHES[k].cpc or ()}))
+    col = {c: F.col(c) for c in ("office", "publication_date", "title", "abstract", "codes")}
     out = []
     for k in keys:
-        hit, why = search.evaluate(SEARCHES[k], col["office"], col["publication_date"], col["title"], col["abstract"], col["codes"], col["known"])
+        hit, why = search.evaluate(SEARCHES[k], col["office"], col["publication_date"], col["title"], col["abstract"], col["codes"], scheme)
         out.append(F.struct(F.lit(SEARCHES[k].name).alias("query"), hit.alias("matched"), why.alias("undecidable")))
     return rec.select("pub", F.explode(F.array(*out)).alias("v")).select("pub", "v.*")
 
@@ -117,10 +159,26 @@ def query_counts(s, d):
 @query()
 def query_renderings(s, d):
     """Every generated query in the foreign query languages and as canonical JSON."""
-    rows = [(q.name, search.canonical(q), search.to_cql(q), search.to_json_body(q), search.to_sql(q)) for q in SEARCHES.values()]
+    asked = sorted({c for q in SEARCHES.values() for c in q.cpc or ()})
+    scheme = scheme_of(s, d, asked, newest_tree(s, d))
+    known = lambda q: replace(q, cpc=tuple(c for c in q.cpc if c in scheme.levels) or None) if q.cpc else q
+    rows = [(q.name, search.canonical(q), search.to_cql(q), search.to_json_body(known(q), scheme), search.to_sql(known(q), scheme)) for q in SEARCHES.values()]
     return s.createDataFrame(rows, "query string, canonical string, cql string, json_body string, sql string")
 
 
+@query(f"""WITH {ITEMS}, asked AS (SELECT unnest(['no such batch', NULL]) AS batch_id UNION ALL SELECT DISTINCT batch_id FROM item),
+state AS (SELECT batch_id, count(*) FILTER (WHERE outcome IS NULL) AS left_, count(*) FILTER (WHERE outcome = 'stored') AS stored FROM item GROUP BY 1)
+SELECT a.batch_id, CASE WHEN s.batch_id IS NULL THEN 'unknown' WHEN left_ > 0 THEN 'unfinished' WHEN stored = 0 THEN 'empty' END AS problem FROM asked a LEFT JOIN state s USING (batch_id) WHERE a.batch_id IS NOT NULL""")
+def universe_guard(s, d):
+    """Why a batch can't be searched in: it doesn't exist, has items without an outcome, or stored nothing."""
+    i = items(s, d)
+    state = i.groupBy("batch_id").agg(F.count_if(F.col("outcome").isNull()).alias("left"), F.count_if(F.col("outcome") == "stored").alias("stored"))
+    asked = i.select("batch_id").distinct().unionByName(s.createDataFrame([("no such batch",)], "batch_id string"))
+    got = asked.join(state, "batch_id", "left").where("batch_id is not null")
+    problem = F.when(F.col("left").isNull(), "unknown").when(F.col("left") > 0, "unfinished").when(F.col("stored") == 0, "empty")
+    return got.select("batch_id", problem.alias("problem"))
+
+
 # ---------------------------------------------------------------- families of the dataset
 
 _FAM_EDGES = f"""{LATEST}, fe AS (
@@ -200,24 +258,15 @@ def descendants(s, d):
     return pairs.groupBy("scheme_version", "ancestor").agg(F.count("*").alias("n_below"))
 
 
-@query(f"""WITH RECURSIVE {_TREE}, {LATEST}, code AS (SELECT DISTINCT unnest(list_transform(cpc, lambda c: c.code)) AS code FROM doc), tree AS (SELECT symbol AS code, path FROM walk WHERE NOT orphan AND scheme_version = (SELECT max(scheme_version) FROM cpc_entry)),
-target AS (SELECT unnest(['A', 'G06N', 'B12C3/00', 'A36D5/00']) AS symbol)
-SELECT code, symbol, CASE WHEN path IS NOT NULL THEN list_contains(path, symbol) WHEN NOT contains(symbol, '/') THEN starts_with(code, symbol) WHEN left(code, 4) <> left(symbol, 4) THEN false
-  WHEN split_part(substr(code, 5), '/', 1) = split_part(substr(symbol, 5), '/', 1) THEN true
-  WHEN abs(CAST(split_part(substr(code, 5), '/', 1) AS INTEGER) - CAST(split_part(substr(symbol, 5), '/', 1) AS INTEGER)) = 2000 THEN NULL ELSE false END AS within FROM code LEFT JOIN tree USING (code), target""")
+_ASKED = ("A", "G06N", "B12C3/00", "A36D5/00", "A36D5/10")
+
+
+@query(f"WITH RECURSIVE {_RECORDS}, target AS (SELECT unnest({list(_ASKED)}) AS symbol) SELECT code, symbol, {_within_sql('symbol')} AS within FROM (SELECT DISTINCT code, path FROM coded), target")
 def is_within(s, d):
-    tree = hierarchy(table(s, d, "cpc_entry")).where("status = 'tree'")
-    newest = table(s, d, "cpc_entry").agg(F.max("scheme_version").alias("scheme_version"))
-    tree = tree.join(F.broadcast(newest), "scheme_version").select(F.col("symbol").alias("code"), "path")
-    code = latest(s, d, "cpc").select(F.explode("cpc.code").alias("code")).distinct().join(tree, "code", "left")
-    asked = code.select("code", "path", F.explode(F.array(*map(F.lit, ("A", "G06N", "B12C3/00", "A36D5/00")))).alias("symbol"))
-    group = lambda c: F.regexp_extract(c, r"^.{4}([0-9]+)/", 1).try_cast("int")
-    a, b = group(F.col("code")), group(F.col("symbol"))
-    within = (
-        F.when(F.col("path").isNotNull(), F.array_contains("path", F.col("symbol"))).when(~F.col("symbol").contains("/"), F.col("code").startswith(F.col("symbol")))
-        .when(F.substring("code", 1, 4) != F.substring("symbol", 1, 4), False).when(a == b, True).when(F.abs(a - b) == 2000, F.lit(None)).otherwise(False)
-    )
-    return asked.select("code", "symbol", within.alias("within"))
+    levels = scheme_of(s, d, list(_ASKED)).levels
+    code = latest(s, d, "cpc").select(F.explode("cpc.code").alias("code")).where("code is not null").distinct().join(newest_tree(s, d), "code", "left")
+    told = [F.struct(F.lit(a).alias("symbol"), search.within(F.col("code"), F.col("path"), a, levels).alias("within")) for a in _ASKED]
+    return code.select("code", F.explode(F.array(*told)).alias("w")).select("code", "w.*")
 
 
 @query(f"WITH RECURSIVE {_TREE}, pick AS (SELECT scheme_version, symbol, path FROM walk WHERE NOT orphan AND contains(symbol, '/')) SELECT DISTINCT scheme_version, a AS queried, symbol FROM (SELECT scheme_version, symbol, unnest(path) AS a FROM pick) WHERE a IN ('A36D5/00', 'A03D', 'A16F11/00')")
@@ -228,9 +277,7 @@ def expand_codes(s, d):
 
 @query(f"WITH RECURSIVE {_TREE}, {LATEST}, code AS (SELECT DISTINCT pub, unnest(list_transform(cpc, lambda c: c.code)) AS code FROM doc), tree AS (SELECT symbol AS code, unnest(path) AS node FROM walk WHERE NOT orphan AND scheme_version = (SELECT max(scheme_version) FROM cpc_entry)) SELECT node, count(DISTINCT pub) AS publications FROM code JOIN tree USING (code) GROUP BY 1")
 def subtree_rollup(s, d):
-    tree = hierarchy(table(s, d, "cpc_entry")).where("status = 'tree'")
-    newest = table(s, d, "cpc_entry").agg(F.max("scheme_version").alias("scheme_version"))
-    tree = tree.join(F.broadcast(newest), "scheme_version").select(F.col("symbol").alias("code"), F.explode("path").alias("node"))
+    tree = newest_tree(s, d).select("code", F.explode("path").alias("node"))
     code = latest(s, d, "cpc").select("pub", F.explode("cpc.code").alias("code")).distinct()
     return code.join(tree, "code").select("node", "pub").distinct().groupBy("node").agg(F.count("*").alias("publications"))
 
