@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,6 +33,15 @@ def pub_parts(raw: Column, strict: bool = True) -> Column:
     return F.when(fits, F.struct(country.alias("country"), number.alias("number"), kind.alias("kind")))
 
 
+def read_number(raw: str | None) -> tuple[str, str, str | None] | None:
+    """``pub_parts`` under the strict rules for one text outside Spark."""
+    m = re.fullmatch(PUB_SHAPE.strip("^$"), re.sub(r"[\s,\-/.]", "", (raw or "").strip().upper()))
+    if m is None or not re.search("[0-9]", m[2]):
+        return None
+    checked = m[1] == "SG" and re.fullmatch("[0-9]+.", m[2])
+    return (m[1], m[2], m[3]) if m[3] is None or m[2][-1] in "0123456789" or checked else None
+
+
 def pub_text(parts: Column) -> Column:
     """Country, number and kind written together; null if there is no number."""
     return F.when(

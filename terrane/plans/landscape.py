@@ -230,9 +230,10 @@ def family_evidence(s, d):
 
 # ---------------------------------------------------------------- classification
 
-@query(f"""WITH {ENTRIES}, g AS (SELECT scheme_version, left(symbol, 4) AS sub, pos, symbol, dot_level FROM entry WHERE kind IN ('main_group', 'subgroup') AND dot_level >= 0)
-SELECT g.scheme_version, g.symbol, (SELECT CASE WHEN arg_max(p.dot_level, (p.pos, p.symbol)) = g.dot_level - 1 THEN arg_max(p.symbol, (p.pos, p.symbol)) END FROM g p
-  WHERE p.scheme_version = g.scheme_version AND p.sub = g.sub AND (p.pos, p.symbol) < (g.pos, g.symbol) AND p.dot_level < g.dot_level) AS parent FROM g""")
+@query(f"""WITH {ENTRIES}, g AS (SELECT scheme_version, left(symbol, 4) AS sub, pos, symbol, dot_level, {_group_sql('symbol')} AS grp FROM entry WHERE kind IN ('main_group', 'subgroup') AND dot_level >= 0),
+near AS (SELECT g.*, (SELECT arg_max(struct_pack(symbol := p.symbol, lev := p.dot_level, grp := p.grp), (p.pos, p.symbol)) FROM g p
+  WHERE p.scheme_version = g.scheme_version AND p.sub = g.sub AND (p.pos, p.symbol) < (g.pos, g.symbol) AND p.dot_level < g.dot_level) AS b FROM g)
+SELECT scheme_version, symbol, CASE WHEN b.lev = dot_level - 1 AND grp - b.grp IN (0, {search.INDEXING}) THEN b.symbol END AS parent FROM near""")
 def asof_parent(s, d):
     return parents(entries(s, d))
 

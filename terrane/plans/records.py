@@ -2,24 +2,36 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
-from terrane.functions.ident import CODE_SHAPE, norm_code, norm_symbol, pub_parts
+from terrane.functions.ident import CODE_SHAPE, PUB_SHAPE, norm_code, norm_symbol, pub_parts
 from terrane.functions.names import NAME_KEY_SQL, name_key, name_steps
-from terrane.plans.base import COPIES, ENTRIES, ITEMS, LATEST, copies, entries, items, latest
+from terrane.plans.base import COPIES, ENTRIES, ITEMS, LATEST, PUB, copies, entries, items, latest
 from terrane.plans.registry import Registry
 from terrane.runtime import Scratch, table
-from terrane.sources import payloads, titles
+from terrane.sinks import datasets, rawstore, shred
+from terrane.sources import files, lookup, pages, titles
 
 query = Registry()
 
 # ---------------------------------------------------------------- sources
 
 
-@query()
+_LOOKUP = """stored AS (SELECT pub, min(raw_record_id) AS raw_record_id FROM (SELECT raw_record_id, {PUB} AS pub FROM patent_document) WHERE pub IS NOT NULL GROUP BY 1),
+asked AS (SELECT DISTINCT id, requested_key, upper(regexp_replace(upper(requested_key), '[^0-9A-Z]', '', 'g')) AS k FROM ingest_item),
+part AS (SELECT id, regexp_extract(k, '{SHAPE}', 1) AS country, regexp_extract(k, '{SHAPE}', 2) AS number, nullif(regexp_extract(k, '{SHAPE}', 3), '') AS kind FROM asked),
+fits AS (SELECT id, CASE WHEN country <> '' AND regexp_matches(number, '[0-9]') AND (kind IS NULL OR regexp_matches(number, '[0-9]$') OR (country = 'SG' AND regexp_matches(number, '^[0-9]+.$'))) THEN country || number END AS bare, kind FROM part)"""
+_LOOKUP = _LOOKUP.replace("{PUB}", PUB).replace("{SHAPE}", PUB_SHAPE)
+
+
+@query(f"""WITH {_LOOKUP} SELECT id, bare || coalesce(kind, '') AS key, coalesce(a.raw_record_id, b.raw_record_id) AS raw_record_id,
+CASE WHEN bare IS NULL THEN 'invalid_request' WHEN a.pub IS NOT NULL AND a.raw_record_id IS NOT NULL THEN 'ok' WHEN kind IS NOT NULL AND b.raw_record_id IS NOT NULL THEN 'ok_without_kind' ELSE 'not_found' END AS outcome
+FROM fits LEFT JOIN stored a ON a.pub = bare || coalesce(kind, '') LEFT JOIN stored b ON kind IS NOT NULL AND b.pub = bare""")
 def src_lookup(s, d):
-    """Lookup of every requested publication against stored records, through the data source."""
-    return payloads.lookup(s, d)
+    """Every requested publication looked up among the stored records, once more without its kind if it isn't there."""
+    return lookup.lookup(s, d)
 
 
 _STATUS = "CASE event_type WHEN 'click' THEN 404 WHEN 'view' THEN 200 WHEN 'purchase' THEN 302 WHEN 'signup' THEN 503 ELSE 429 END"
@@ -34,31 +46,130 @@ def src_classify_response(s, d):
     return e.select("event_id", outcome.alias("outcome"))
 
 
-@query()
+_PAGE_FIELDS = ("application_number_raw", "earliest_priority_date", "filing_date", "publication_date", "grant_date", "title", "abstract", "claims", "language", "applicants", "inventors", "cpc", "family_members", "legal_status", "backward_citations", "forward_citations")
+# The wordings of these sources beside the page's own; the rest is "other".
+STATUS = {**pages.STATUS, "In force": "active", "Grant": "granted", "Patent granted": "granted", "Ceased": "lapsed", "Lapsed, fee not paid": "lapsed", "Expired - term ended": "expired", "Refused": "refused", "Examination requested": "pending"}
+_STATUS_SQL = "CASE {0} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in STATUS.items()) + " ELSE 'other' END"
+
+
+def _neat(x: str) -> str:
+    """A text as a page shows it: white space as single spaces."""
+    return f"nullif(trim(regexp_replace({x}, '[\\s\\p{{Z}}\\x0b\\x1c-\\x1f\\x{{85}}]+', ' ', 'g')), '')"
+
+
+def _listed(x: str, each: str) -> str:
+    return f"nullif(array_to_string(list_filter(list_transform({x}, lambda x: {each}), lambda x: x IS NOT NULL), '|'), '')"
+
+
+def _number_sql(x: str) -> tuple[str, str]:
+    """(whether a raw number is one, its normal form)."""
+    k = f"regexp_replace(upper(trim({x})), '[\\s,\\-/.]', '', 'g')"
+    part = lambda i: f"regexp_extract({k}, '{PUB_SHAPE}', {i})"
+    return f"({part(1)} <> '' AND regexp_matches({part(2)}, '[0-9]') AND ({part(3)} = '' OR regexp_matches({part(2)}, '[0-9]$') OR ({part(1)} = 'SG' AND regexp_matches({part(2)}, '^[0-9]+.$'))))", k
+
+
+def _pages_sql() -> str:
+    fine, norm = _number_sql("x")
+    cited_ok, cited = _number_sql(_neat("x.publication_number_raw"))
+    member, told = _neat("x"), "list_filter({}, lambda x: x IS NOT NULL)"
+    fits = lambda xs, ok: f"coalesce(list_bool_and(list_transform({xs}, lambda x: {ok})), true)"
+    fam, pats, npl = told.format("family_members"), "list_filter(backward_citations, lambda x: x.kind = 'patent')", "list_filter(backward_citations, lambda x: x.kind = 'npl')"
+    fwd = told.format("forward_citations.citing_publication_numbers")
+    fam_list = f"list_filter(list_transform({fam}, lambda x: {_number_sql(member)[1]}), lambda x: x <> pub)"
+    origin = "CASE x.origin WHEN 'examiner' THEN 'examiner' WHEN 'third_party' THEN 'third_party' ELSE 'unknown' END"
+    return f"""WITH {LATEST}, said AS (SELECT *, {fits(fam, _number_sql(member)[0])} AS fam_ok, {fits(pats, cited_ok)} AS back_ok, {fits(fwd, fine)} AS fwd_ok FROM doc)
+SELECT pub, {_neat('application_number_raw')} AS application_number_raw, earliest_priority_date, filing_date, publication_date, grant_date, {_neat('title')} AS title, {_neat('abstract')} AS abstract, {_neat('claims')} AS claims,
+  CASE WHEN abstract IS NOT NULL OR claims IS NOT NULL THEN language END AS language, {_listed('applicants', _neat('x.name_raw'))} AS applicants, {_listed('inventors', _neat('x.name_raw'))} AS inventors,
+  nullif(array_to_string(list_transform(list_filter(cpc, lambda x: x.code_raw IS NOT NULL), lambda x: x.code), '|'), '') AS cpc,
+  CASE WHEN fam_ok THEN nullif(array_to_string(list_sort(list_distinct({fam_list})), '|'), '') END AS family_members,
+  {_STATUS_SQL.format(_neat('legal_status.status_raw'))} || ':' || {_neat('legal_status.status_raw')} AS legal_status,
+  CASE WHEN back_ok THEN nullif(array_to_string(list_concat(list_transform({pats}, lambda x: {cited} || ':' || {origin}), list_transform({npl}, lambda x: {_neat('x.npl_text')} || ':' || {origin})), '|'), '') END AS backward_citations,
+  CASE WHEN fwd_ok THEN nullif(array_to_string(list_transform({fwd}, lambda x: {norm}), '|'), '') END AS forward_citations,
+  CAST((NOT fam_ok)::INT + (NOT back_ok)::INT + (NOT fwd_ok)::INT AS INTEGER) AS n_warnings FROM said"""
+
+
+def _page_docs(s, d):
+    doc = latest(s, d, *_PAGE_FIELDS)
+    return doc
+
+
+@query(_pages_sql())
 def src_parse_pages(s, d):
-    """Documents written as microdata pages and parsed again, with quarantine reasons."""
-    return payloads.parse_pages(payloads.as_pages(latest(s, d, "title", "abstract", "publication_date", "legal_status")))
+    """Every field of the latest copies written as microdata pages and parsed again."""
+    got = pages.parse_pages(pages.as_pages(_page_docs(s, d)), STATUS).where("quarantine is null")
+    joined = lambda c: F.nullif(F.array_join(c, "|"), F.lit(""))
+    cited = F.transform("backward_citations", lambda b: F.concat_ws(":", F.coalesce(b["publication_number"], b["npl_text"]), b["origin"]))
+    return got.select(
+        F.col("id").alias("pub"), *_PAGE_FIELDS[:9], joined(F.col("applicants.name_raw")).alias("applicants"), joined(F.col("inventors.name_raw")).alias("inventors"), joined(F.col("cpc.code")).alias("cpc"),
+        joined(F.array_sort("family_members")).alias("family_members"), F.concat("legal_status.category", F.lit(":"), "legal_status.status_raw").alias("legal_status"), joined(cited).alias("backward_citations"),
+        joined(F.col("forward_citations.citing_publication_numbers")).alias("forward_citations"), F.size("warnings").alias("n_warnings"),
+    )
+
+
+@query(f"""WITH {LATEST}, f AS (SELECT unnest({[*_PAGE_FIELDS, 'family_id_simple', 'family_id_extended', 'priorities', 'ipc']}) AS field)
+SELECT pub, field, reason FROM (SELECT pub, field, CASE
+  WHEN field IN ('family_id_simple', 'family_id_extended', 'priorities', 'ipc') THEN 'not_provided_by_source'
+  WHEN field = 'grant_date' AND grant_date IS NULL THEN CASE WHEN publication_date IS NULL THEN 'not_provided_by_source' ELSE 'not_applicable' END
+  WHEN field = 'title' AND {_neat('title')} IS NULL THEN 'not_provided_by_source' WHEN field = 'filing_date' AND filing_date IS NULL THEN 'not_provided_by_source'
+  WHEN field = 'abstract' AND {_neat('abstract')} IS NULL THEN 'not_provided_by_source' END AS reason
+  FROM doc, f WHERE field IN ('family_id_simple', 'family_id_extended', 'priorities', 'ipc', 'grant_date', 'title', 'filing_date', 'abstract')) WHERE reason IS NOT NULL""")
+def src_page_reasons(s, d):
+    """Why a field of a parsed page is missing."""
+    shown = ["family_id_simple", "family_id_extended", "priorities", "ipc", "grant_date", "title", "filing_date", "abstract"]
+    got = pages.parse_pages(pages.as_pages(_page_docs(s, d)), STATUS).where("quarantine is null")
+    return got.select(F.col("id").alias("pub"), F.explode("missing").alias("field", "reason")).where(F.col("field").isin(*shown))
+
+
+@query(f"""WITH {ITEMS}, last AS (SELECT requested_key, arg_max(outcome, (created_at IS NOT NULL, coalesce(created_at, TIMESTAMPTZ '0001-01-01'), id)) AS outcome,
+  arg_max(struct_pack(r := raw_record_id), (created_at IS NOT NULL, coalesce(created_at, TIMESTAMPTZ '0001-01-01'), id)).r AS raw_record_id FROM item WHERE requested_key IS NOT NULL GROUP BY 1)
+SELECT outcome, count(*) AS n FROM last WHERE NOT (coalesce(outcome, '') IN ('stored', 'quarantined', 'duplicate') AND raw_record_id IS NOT NULL) GROUP BY 1""")
+def src_replay_skipped(s, d):
+    """What a replay of everything leaves out: keys that were never fetched, by their last outcome."""
+    i = items(s, d).where("requested_key is not null").withColumn("object_key", F.col("raw_record_id"))
+    none = s.createDataFrame([], rawstore.SHAPE + ", retrieved_at timestamp")
+    return rawstore.replay(i, none)[1]
+
+
+@query(f"""WITH {ITEMS}, last AS (SELECT requested_key, arg_max(outcome, (created_at IS NOT NULL, coalesce(created_at, TIMESTAMPTZ '0001-01-01'), id)) AS outcome,
+  arg_max(struct_pack(r := raw_record_id), (created_at IS NOT NULL, coalesce(created_at, TIMESTAMPTZ '0001-01-01'), id)).r AS raw_record_id FROM item WHERE requested_key IS NOT NULL GROUP BY 1),
+page AS (SELECT raw_record_id, min(pub) AS pub FROM (SELECT raw_record_id, {PUB} AS pub FROM patent_document) WHERE pub IS NOT NULL GROUP BY 1), {COPIES},
+doc AS (SELECT pub, {_neat("arg_max(struct_pack(t := title), (retrieved_at IS NOT NULL, coalesce(retrieved_at, TIMESTAMPTZ '0001-01-01'), document_id)).t")} AS title FROM copies GROUP BY pub)
+SELECT requested_key, page.pub, title FROM last JOIN page USING (raw_record_id) JOIN doc USING (pub) WHERE outcome IN ('stored', 'quarantined', 'duplicate')""")
+def src_replay(s, d):
+    """Every fetched key parsed again from the stored page of its record."""
+    i = items(s, d).where("requested_key is not null").withColumn("object_key", F.col("raw_record_id"))
+    written = pages.as_pages(_page_docs(s, d))
+    of = copies(s, d, "raw_record_id").where("raw_record_id is not null").groupBy(F.col("raw_record_id").alias("object_key")).agg(F.min("pub").alias("id"))
+    h = F.sha2("page", 256)
+    stored = of.join(written, "id").select(F.concat_ws("/", "object_key", h).alias("filed"), "object_key", h.alias("sha256"), F.col("page").alias("content"), "retrieved_at")
+    known = stored.select("object_key", "filed")
+    i = i.join(known, "object_key", "left").withColumn("object_key", F.coalesce("filed", "object_key")).drop("filed")
+    stored = stored.select(F.col("filed").alias("object_key"), "sha256", "content", "retrieved_at")
+    docs = rawstore.replay(i, stored, STATUS)[0].where("quarantine is null")
+    pub = F.concat("publication.country", "publication.number", F.coalesce("publication.kind", F.lit("")))
+    return docs.select(F.col("id").alias("requested_key"), pub.alias("pub"), "title")
 
 
 @query()
 def src_folder_scan(s, d):
-    """Name, length and hash of the data files themselves, read as binary files."""
-    return payloads.scan_folder(s, d)
+    """Name, number, length, hash and problem of the data files themselves, read as binary files."""
+    return files.scan_folder(s, d, "*.parquet")
 
 
-@query()
+@query(f"""WITH {ENTRIES}, t AS (SELECT scheme_version, pos, symbol, CASE WHEN kind IN ('main_group', 'subgroup') THEN dot_level END AS level, nullif(title, '') AS title FROM entry)
+SELECT scheme_version, pos, symbol, level, title, CASE WHEN level < 0 THEN 'level' WHEN NOT regexp_matches(symbol, '^[A-Z]([0-9]{{2}}([A-Z]([0-9]+/[0-9]+)?)?)?$') THEN 'symbol' END AS problem FROM t""")
 def cpc_parse(s, d):
-    """Classification titles written as tab-separated lists and parsed again, parents from dot levels."""
+    """Classification titles written as tab-separated lines and parsed again."""
     return titles.parse(titles.as_lines(entries(s, d)))
 
 
-@query("SELECT pub, status, CASE status WHEN 'Active' THEN 'active' WHEN 'In force' THEN 'active' WHEN 'Grant' THEN 'granted' WHEN 'Patent granted' THEN 'granted' WHEN 'Ceased' THEN 'lapsed' WHEN 'Pending' THEN 'pending' ELSE 'other' END AS category FROM (WITH " + LATEST + " SELECT pub, legal_status.status_raw AS status FROM doc) WHERE status IS NOT NULL")
+@query(f"WITH {LATEST} SELECT pub, legal_status.status_raw AS status, {_STATUS_SQL.format('legal_status.status_raw')} AS category, {_STATUS_SQL.format('legal_status.status_raw')} IS DISTINCT FROM legal_status.category AS differs FROM doc WHERE legal_status.status_raw IS NOT NULL")
 def map_status(s, d):
-    # Wordings and the category each stands for.
-    words = {"Active": "active", "In force": "active", "Grant": "granted", "Patent granted": "granted", "Ceased": "lapsed", "Pending": "pending"}
-    known = F.create_map(*[F.lit(x) for kv in words.items() for x in kv])
-    status = latest(s, d, "legal_status").select("pub", F.col("legal_status.status_raw").alias("status")).where("status is not null")
-    return status.select("pub", "status", F.coalesce(known[F.col("status")], F.lit("other")).alias("category"))
+    """Category of every wording, and whether the source's own category is another."""
+    known = F.create_map(*[F.lit(x) for kv in STATUS.items() for x in kv])
+    doc = latest(s, d, "legal_status").select("pub", F.col("legal_status.status_raw").alias("status"), F.col("legal_status.category").alias("told")).where("status is not null")
+    category = F.coalesce(known[F.col("status")], F.lit("other"))
+    return doc.select("pub", "status", category.alias("category"), (~category.eqNullSafe(F.col("told"))).alias("differs"))
 
 
 @query("SELECT doc_id, regexp_matches(regexp_replace(text, '([0-9])[.,]([0-9])', '\\1\\2', 'g'), '(^|[^0-9])17([^0-9]|$)') AS hit FROM documents WHERE text IS NOT NULL")
@@ -67,34 +178,69 @@ def whole_number_in_text(s, d):
     return table(s, d, "documents").where("text is not null").select("doc_id", joined.rlike(r"(?<![0-9])17(?![0-9])").alias("hit"))
 
 
-@query("SELECT doc_id, left(h, 2) || '/' || h AS object_key, h = sha256(text) AS intact FROM (SELECT doc_id, text, sha256(text) AS h FROM documents WHERE text IS NOT NULL)")
+@query("""WITH t AS (SELECT DISTINCT coalesce(source, '') AS source_id, text, text || CASE WHEN doc_id % 97 = 0 THEN '!' ELSE '' END AS now FROM documents WHERE text IS NOT NULL),
+o AS (SELECT source_id, sha256(text) AS h, count(*) FILTER (WHERE sha256(now) <> sha256(text)) > 0 AS spoilt FROM t GROUP BY 1, 2) SELECT 'raw/' || source_id || '/' || left(h, 2) || '/' || h AS object_key, NOT spoilt AS intact FROM o""")
 def raw_hash_verify(s, d):
-    h = F.sha2("text", 256)
-    stored = table(s, d, "documents").where("text is not null").select("doc_id", "text", h.alias("h"))
-    return stored.select("doc_id", F.concat_ws("/", F.substring("h", 1, 2), "h").alias("object_key"), (F.col("h") == h).alias("intact"))
+    """Texts filed under their hash; some are changed afterwards, which reading them finds."""
+    docs = table(s, d, "documents").where("text is not null").select(F.coalesce("source", F.lit("")).alias("source_id"), F.col("text").alias("content"), (F.col("doc_id") % 97 == 0).alias("change"))
+    stored = rawstore.objects(docs)
+    key = F.concat_ws("/", F.lit("raw"), "source_id", F.substring(F.sha2("content", 256), 1, 2), F.sha2("content", 256))
+    spoilt = docs.groupBy(key.alias("object_key")).agg(F.bool_or("change").alias("spoil"))
+    changed = stored.join(spoilt, "object_key").withColumn("content", F.when(F.col("spoil"), F.concat("content", F.lit("!"))).otherwise(F.col("content")))
+    return rawstore.verified(changed).select("object_key", "intact")
 
 
 # ---------------------------------------------------------------- sinks
 
+_LISTS = {"applicant": ("applicants", "x.name_raw"), "inventor": ("inventors", "x.name_raw"), "cpc": ("cpc", "x.code"), "ipc": ("ipc", "x.code"), "priority": ("priorities", "x.number_raw"), "family_member": ("family_members", "x"), "backward_citation": ("backward_citations", "coalesce(x.publication_number, x.npl_text)")}
+_UNNEST = " UNION ALL ".join(f"SELECT pub, '{child}' AS child, CAST(i AS INTEGER) AS ordinal, {e.replace('x', 'a[i]', 1) if e == 'x' else e.replace('x.', 'a[i].')} AS value FROM (SELECT pub, {c} AS a, unnest(range(1, len({c}) + 1)) AS i FROM doc)" for child, (c, e) in _LISTS.items())
+
 
-@query(f"""WITH {LATEST} SELECT pub, 'party' AS child, CAST(i AS INTEGER) AS ordinal, a[i].name_raw AS value FROM (SELECT pub, applicants AS a, unnest(range(1, len(applicants) + 1)) AS i FROM doc)
-UNION ALL SELECT pub, 'classification', CAST(i AS INTEGER), a[i].code FROM (SELECT pub, cpc AS a, unnest(range(1, len(cpc) + 1)) AS i FROM doc)
-UNION ALL SELECT pub, 'family_member', CAST(i AS INTEGER), a[i] FROM (SELECT pub, family_members AS a, unnest(range(1, len(family_members) + 1)) AS i FROM doc)
-UNION ALL SELECT pub, 'priority', CAST(i AS INTEGER), a[i].number_raw FROM (SELECT pub, priorities AS a, unnest(range(1, len(priorities) + 1)) AS i FROM doc)""")
+@query(f"WITH {LATEST} {_UNNEST}")
 def shred_children(s, d):
-    doc = latest(s, d, "applicants", "cpc", "family_members", "priorities")
-    parts = [("party", "applicants.name_raw"), ("classification", "cpc.code"), ("family_member", "family_members"), ("priority", "priorities.number_raw")]
-    out = [doc.select("pub", F.lit(n).alias("child"), F.posexplode(F.col(c)).alias("k", "value")).select("pub", "child", (F.col("k") + 1).alias("ordinal"), "value") for n, c in parts]
-    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
+    _, children = shred.shred(latest(s, d, *[c for c, _ in _LISTS.values()]), "pub")
+    shown = {"applicant": "value.name_raw", "inventor": "value.name_raw", "cpc": "value.code", "ipc": "value.code", "priority": "value.number_raw", "family_member": "value"}
+    value = lambda child: F.col(shown[child]) if child in shown else F.coalesce("value.publication_number", "value.npl_text")
+    out = [rows.select("pub", F.lit(child).alias("child"), "ordinal", value(child).alias("value")) for child, rows in children.items()]
+    return reduce(lambda a, b: a.unionByName(b), out)
+
+
+_WHOLE = {
+    "applicants": "{x.role}/{x.sequence}/{x.name_raw}/{x.country}/{x.country_missing}", "inventors": "{x.role}/{x.sequence}/{x.name_raw}/{x.country}/{x.country_missing}", "cpc": "{x.scheme}/{x.code}/{x.code_raw}", "ipc": "{x.scheme}/{x.code}/{x.code_raw}",
+    "priorities": "{x.number_raw}/{x.country}/{x.date}", "family_members": "{x}", "backward_citations": "{x.kind}/{x.publication_number}/{x.publication_number_raw}/{x.npl_text}/{x.origin}",
+}
+
+
+def _whole_sql(c: str) -> str:
+    each = " || '/' || ".join(f"coalesce(CAST({p.strip('{}')} AS VARCHAR), '~')" for p in _WHOLE[c].split("/"))
+    return f"array_to_string(list_transform({c}, lambda x: {each}), '|') AS {c}"
 
 
-@query(f"WITH {LATEST} SELECT pub, true AS same FROM doc WHERE applicants IS NOT NULL")
+@query(f"WITH {LATEST} SELECT pub, document_id, title, filing_date, {', '.join(map(_whole_sql, _WHOLE))} FROM doc")
 def reassemble_roundtrip(s, d):
-    doc = Scratch(s, "roundtrip").save(latest(s, d, "applicants").where("applicants is not null"))
-    rows = doc.select("pub", F.posexplode("applicants").alias("ordinal", "a"))
-    back = rows.groupBy("pub").agg(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", F.to_json("a").alias("a")))), lambda x: x["a"]).alias("back"))
-    own = F.transform("applicants", lambda a: F.to_json(a))
-    return doc.join(back, "pub", "left").select("pub", (F.coalesce("back", F.array().cast("array<string>")) == own).alias("same"))
+    """Every list of the latest copies taken apart into child rows and put together again, beside the parent's own fields."""
+    scratch = Scratch(s, "roundtrip")
+    parents, children = shred.shred(scratch.save(latest(s, d, "title", "filing_date", *_WHOLE)), "pub")
+    back = shred.reassemble(parents, {n: scratch.save(rows) for n, rows in children.items()}, "pub")
+    told = lambda x, p: F.coalesce((x if p == "{x}" else x[p.strip("{}").split(".")[1]]).cast("string"), F.lit("~"))
+    line = lambda f: lambda x: F.concat_ws("/", *[told(x, p) for p in f.split("/")])
+    joined = [F.array_join(F.transform(c, line(f)), "|").alias(c) for c, f in _WHOLE.items()]
+    return back.select("pub", "document_id", "title", "filing_date", *joined)
+
+
+@query(f"""WITH {ITEMS}, picked AS (SELECT DISTINCT batch_id FROM item ORDER BY 1 LIMIT 3), mine AS (SELECT DISTINCT raw_record_id FROM item JOIN picked USING (batch_id) WHERE raw_record_id IS NOT NULL),
+docs AS (SELECT c.* FROM (SELECT * FROM patent_document QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY raw_record_id) = 1) c SEMI JOIN mine USING (raw_record_id))
+SELECT 'documents' AS table_name, count(*) AS n FROM docs UNION ALL SELECT 'applicants', coalesce(sum(len(applicants)), 0)::BIGINT FROM docs UNION ALL SELECT 'cpc', coalesce(sum(len(cpc)), 0)::BIGINT FROM docs""")
+def dataset_write(s, d):
+    """The documents of the first three batches written as a dataset of three tables, and read back against its manifest."""
+    i, scratch = items(s, d), Scratch(s, "dataset")
+    batches = [r.batch_id for r in i.select("batch_id").distinct().orderBy("batch_id").limit(3).collect()]  # the feature: a dataset of these batches
+    docs = datasets.inputs(table(s, d, "patent_document"), i, batches)
+    parents, children = shred.shred(docs.select("document_id", "title", "applicants", "cpc"), "document_id")
+    tables = {"documents": parents, "applicants": children["applicant"], "cpc": children["cpc"]}
+    datasets.write(tables, scratch.root, "run-1", {"batches": batches})
+    counts = [datasets.read(s, scratch.root, "run-1", n).select(F.lit(n).alias("table_name")).groupBy("table_name").agg(F.count("*").alias("n")) for n in tables]
+    return reduce(lambda a, b: a.unionByName(b), counts)
 
 
 @query("SELECT publication, min(document_id) AS document_id FROM dataset_document x WHERE NOT EXISTS (SELECT 1 FROM family_member f WHERE f.publication = x.publication) GROUP BY 1")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terrane.operators.search import INDEXING
+
 
 def as_lines(entries: DataFrame) -> DataFrame:
     """Entries as the lines of a title list."""
@@ -24,11 +27,16 @@ def parse(lines: DataFrame) -> DataFrame:
 
 
 def parents(entries: DataFrame) -> DataFrame:
-    """Parent of every group by position: the nearest entry before it of a lower level, if that is one level up.
+    """Parent of every group by position: the nearest entry before it of a lower level, if that is one level up and of the
+    same main group, or the main group that an indexing group belongs to.
 
     One pass over each subclass of an edition in order of position, keeping the open entry of each level only.
     """
 
+    def main_group(symbol: str) -> int | None:
+        m = re.match(r".{4}([0-9]+)/", symbol)
+        return int(m[1]) if m else None
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, stack = None, []
         for b in batches:
@@ -38,7 +46,9 @@ def parents(entries: DataFrame) -> DataFrame:
                     now, stack = (scheme, sub), []
                 while stack and stack[-1][0] >= level:
                     stack.pop()
-                out.append((scheme, symbol, stack[-1][1] if stack and stack[-1][0] == level - 1 else None))
+                near = stack[-1] if stack and stack[-1][0] == level - 1 else None
+                fits = near is not None and (a := main_group(symbol)) is not None and (b := main_group(near[1])) is not None and a - b in (0, INDEXING)
+                out.append((scheme, symbol, near[1] if fits else None))
                 stack.append((level, symbol))
             cols = list(zip(*out)) if out else [[]] * 3
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], ["scheme_version", "symbol", "parent"])
