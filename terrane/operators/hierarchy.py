@@ -1,11 +1,12 @@
 """Parent-child rows to full hierarchies: paths, depth, root, descendants, and entries that never reach a root.
 
 Components are found by pointer doubling along the parent column, brought together, and walked depth first
-in one task each, on an explicit stack with three colours: white is new, grey is on the walk, black is done;
-a step to a grey entry is the back edge of a loop. Components of more than ``bound`` entries are first taken
-apart from the top: the root's own row comes out at once and each of its children heads a fragment of its own
-that knows the path above it, so no task holds an unbounded component. Loops of more than ``bound`` entries
-need no walk: the entries still pointed to after enough doublings are exactly those on the loop.
+in one task each, on an explicit stack with three colours: white is new, grey is on the walk, black is done.
+A tree is walked from its head, a component without one from the smallest entry of its loop; a step to a grey
+entry is the back edge of the loop, and the entries grey at that moment lie on it. Components of more than
+``bound`` entries aren't brought together: their paths are put together by doubling too, each entry taking
+the piece of path of the entry it points to, so a chain of any depth takes a logarithm of rounds; the loop of
+such a component are the entries still pointed to after enough doublings.
 
 Defined results: a null or blank parent makes a root; a parent that isn't in the edition makes an orphan, the
 head of its own tree with status ``orphan``, and so for all beneath it; a loop and all that leads into it have
@@ -25,7 +26,7 @@ from terrane.functions.ident import norm_symbol
 from terrane.runtime import Scratch
 
 BOUND = 50_000
-SHAPE = "scheme_version string, symbol string, status string, path array<string>, depth int, root string, on_loop boolean"
+SHAPE = "scheme_version string, symbol string, status string, path array<string>, depth int, root string, on_loop boolean, back_to string"
 
 
 def entries(cpc: DataFrame) -> DataFrame:
@@ -65,100 +66,122 @@ def components(nodes: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (scheme_version, comp, symbol, up, looped, above, orphan) sorted by component."""
+    """Rows (scheme_version, comp, symbol, up, looped, orphan) sorted by component."""
     out: list[tuple] = []
     now, rows = None, []
 
     def close() -> None:
         if now is None:
             return
-        scheme, up = now[0], {r[0]: r[1] for r in rows}
-        if now[2]:
-            out.extend((scheme, s, "cycle", None, None, None, on) for s, on in _loops(up).items())
-            return
+        scheme, looped = now[0], now[2]
+        up = {r[0]: r[1] for r in rows}
         below: dict[str, list[str]] = {}
-        head, above, orphan = None, [], False
-        for s, parent, more, lost in rows:
-            if parent is None:
-                head, above, orphan = s, list(more or []), lost
-            else:
+        for s, parent in up.items():
+            if parent is not None:
                 below.setdefault(parent, []).append(s)
-        status = "orphan" if orphan else "tree"
-        path, stack = above, [(head, False)]
+        head = _on_loop(up) if looped else next(s for s, parent in up.items() if parent is None)
+        status = "cycle" if looped else "orphan" if next(r[2] for r in rows if r[0] == head) else "tree"
+        grey, done, path = {head}, set(), []
+        back: dict[str, str] = {}
+        on: set[str] = set()
+        stack = [(head, False)]
         while stack:
-            s, done = stack.pop()
-            if done:
+            s, left = stack.pop()
+            if left:
                 path.pop()
+                grey.discard(s)
+                done.add(s)
+                if looped:
+                    out.append((scheme, s, status, None, None, None, s in on, back.get(s)))
                 continue
+            grey.add(s)
             path.append(s)
-            out.append((scheme, s, status, list(path), len(path) - 1, path[0], False))
+            if not looped:
+                out.append((scheme, s, status, list(path), len(path) - 1, path[0], False, None))
             stack.append((s, True))
-            stack.extend((c, False) for c in sorted(below.get(s, ()), reverse=True))
+            for child in sorted(below.get(s, ()), reverse=True):
+                if child in grey:
+                    back[s] = child
+                    on.update(path[path.index(child) :])
+                elif child not in done:
+                    stack.append((child, False))
 
     def batch() -> pa.RecordBatch:
-        cols = list(zip(*out)) if out else [[]] * 7
-        kinds = [pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.int32(), pa.string(), pa.bool_()]
+        cols = list(zip(*out)) if out else [[]] * 8
+        kinds = [pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.int32(), pa.string(), pa.bool_(), pa.string()]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], [x.split()[0] for x in SHAPE.split(", ")])
 
     for b in batches:
-        for scheme, comp, s, parent, looped, above, orphan in zip(*(b.column(i).to_pylist() for i in range(7))):
+        for scheme, comp, s, parent, looped, orphan in zip(*(b.column(i).to_pylist() for i in range(6))):
             if (scheme, comp, looped) != now:
                 close()
                 now, rows = (scheme, comp, looped), []
                 if len(out) > 5000:
                     yield batch()
                     out.clear()
-            rows.append((s, parent, above, orphan))
+            rows.append((s, parent, orphan))
     close()
     yield batch()
 
 
-def _loops(up: dict[str, str]) -> dict[str, bool]:
-    """Every entry with whether it lies on a loop, by walking up with colours."""
-    colour: dict[str, int] = {}
-    on: dict[str, bool] = {}
-    for start in sorted(up):
-        walk, s = [], start
-        while colour.get(s, 0) == 0:
-            colour[s] = 1
-            walk.append(s)
-            s = up[s]
-        first = walk.index(s) if colour[s] == 1 else len(walk)  # a grey entry closes the loop
-        for i, t in enumerate(walk):
-            colour[t], on[t] = 2, i >= first
-    return on
+def _on_loop(up: dict[str, str]) -> str:
+    """The smallest entry of the loop that following ``up`` ends in."""
+    seen, s = set(), next(iter(up))
+    while s not in seen:
+        seen.add(s)
+        s = up[s]
+    loop, t = [s], up[s]
+    while t != s:
+        loop.append(t)
+        t = up[t]
+    return min(loop)
+
+
+def _doubled(nodes: DataFrame, scratch: Scratch) -> DataFrame:
+    """Paths of (scheme_version, symbol, up, orphan) that all reach a head: each round a piece of path is put before one's own."""
+    now = scratch.save(nodes.select("scheme_version", "symbol", F.col("up").alias("at"), F.array("symbol").alias("path"), "orphan"))
+    while not now.where("at is not null").isEmpty():
+        ahead = now.select("scheme_version", F.col("symbol").alias("at"), F.col("at").alias("at2"), F.col("path").alias("before"), F.col("orphan").alias("lost"))
+        moved = now.where("at is not null").join(ahead, ["scheme_version", "at"])
+        moved = moved.select("scheme_version", "symbol", F.col("at2").alias("at"), F.concat("before", "path").alias("path"), F.col("lost").alias("orphan"))
+        after = scratch.save(now.where("at is null").unionByName(moved))
+        scratch.drop(now)
+        now = after
+    return now
 
 
 def hierarchy(cpc: DataFrame, bound: int = BOUND) -> DataFrame:
-    """One row per entry: scheme_version, symbol, status, path from the root, depth, root, on_loop."""
+    """One row per entry: scheme_version, symbol, status, path from the root, depth, root, on_loop, and, at the entry whose
+    child closes a loop, that child as back_to."""
     scratch = Scratch(cpc.sparkSession, "hierarchy")
     key = ["scheme_version", "symbol"]
-    todo = entries(cpc).withColumn("up", F.when(~F.col("orphan"), F.col("parent")))
-    todo = scratch.save(todo.select(*key, "up", "orphan", F.array().cast("array<string>").alias("above")))
-    out = []
-    while True:
-        comp = scratch.save(todo.join(components(todo, scratch), key))
-        sizes = comp.groupBy("scheme_version", "comp").count()
-        big = sizes.where(F.col("count") > bound).select("scheme_version", "comp")  # fewer than rows / bound rows
-        none = big.isEmpty()
-        fit = comp if none else comp.join(big, ["scheme_version", "comp"], "left_anti")
-        placed = fit.select("scheme_version", "comp", "symbol", "up", "looped", "above", "orphan").repartition("scheme_version", "comp")
-        out.append(placed.sortWithinPartitions("scheme_version", "comp", "looped").mapInArrow(_walk, SHAPE))
-        if none:
-            break
-        large = scratch.save(comp.join(big, ["scheme_version", "comp"], "left_semi"))
-        loops = large.where("looped").select(*key, F.lit("cycle").alias("status"), F.lit(None).cast("array<string>").alias("path"), F.lit(None).cast("int").alias("depth"), F.lit(None).cast("string").alias("root"), F.col("held").alias("on_loop"))
-        heads = large.where("not looped and up is null").withColumn("path", F.concat("above", F.array("symbol")))
-        out += [loops, heads.select(*key, F.when(F.col("orphan"), "orphan").otherwise("tree").alias("status"), "path", (F.size("path") - 1).alias("depth"), F.col("path")[0].alias("root"), F.lit(False).alias("on_loop"))]
-        over = heads.select("scheme_version", F.col("symbol").alias("up"), "path", F.col("orphan").alias("lost"))
-        rest = large.where("not looped and up is not null").join(over, ["scheme_version", "up"], "left")
-        todo = scratch.save(rest.select(*key, F.when(F.col("path").isNull(), F.col("up")).alias("up"), F.coalesce("lost", "orphan").alias("orphan"), F.coalesce("path", "above").alias("above")))
-        if todo.isEmpty():
-            break
-    whole = out[0]
-    for part in out[1:]:
-        whole = whole.unionByName(part)
-    return whole
+    nodes = entries(cpc).withColumn("up", F.when(~F.col("orphan"), F.col("parent")))
+    nodes = scratch.save(nodes.select(*key, "up", "orphan"))
+    comp = scratch.save(nodes.join(components(nodes, scratch), key))
+    big = comp.groupBy("scheme_version", "comp", "looped").count().where(F.col("count") > bound).drop("count")  # fewer than rows / bound rows
+    if big.isEmpty():
+        return _walked(comp)
+    large = scratch.save(comp.join(big, ["scheme_version", "comp", "looped"], "left_semi"))
+    none = [F.lit(None).cast(t).alias(n) for n, t in (("path", "array<string>"), ("depth", "int"), ("root", "string"))]
+    loops = large.where("looped")
+    # The least entry of a loop names its component; the edge to it from its parent closes the loop.
+    last = loops.where("symbol = comp").select("scheme_version", F.col("up").alias("symbol"), F.col("comp").alias("back_to"))
+    loops = loops.join(last, key, "left").select(*key, F.lit("cycle").alias("status"), *none, F.col("held").alias("on_loop"), "back_to")
+    trees = _doubled(large.where("not looped").select(*key, "up", "orphan"), scratch)
+    trees = trees.select(
+        *key, F.when(F.col("orphan"), "orphan").otherwise("tree").alias("status"), "path", (F.size("path") - 1).alias("depth"), F.col("path")[0].alias("root"), F.lit(False).alias("on_loop"), F.lit(None).cast("string").alias("back_to")
+    )
+    return _walked(comp.join(big, ["scheme_version", "comp", "looped"], "left_anti")).unionByName(loops).unionByName(trees)
+
+
+def _walked(comp: DataFrame) -> DataFrame:
+    placed = comp.select("scheme_version", "comp", "symbol", "up", "looped", "orphan").repartition("scheme_version", "comp")
+    return placed.sortWithinPartitions("scheme_version", "comp", "looped").mapInArrow(_walk, SHAPE)
+
+
+def back_edges(cpc: DataFrame, bound: int = BOUND) -> DataFrame:
+    """One row per loop: the edge from ``symbol`` down to its child ``back_to``, the least entry of the loop, that closes it."""
+    return hierarchy(cpc, bound).where("back_to is not null").select("scheme_version", "symbol", "back_to")
 
 
 def descendants(cpc: DataFrame, bound: int = BOUND) -> DataFrame:

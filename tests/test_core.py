@@ -229,6 +229,20 @@ def test_hierarchy_equals_brute_force(spark, seed, bound):
     assert below == {(v, p[i], s, len(p) - 1 - i) for (v, s), (_, p) in want.items() if p for i in range(len(p) - 1)}
     loops = {(r.scheme_version, r.symbol) for r in got if r.on_loop}
     assert loops <= {k for k, (status, _) in want.items() if status == "cycle"}
+    edges = {(r.scheme_version, r.back_to): r.symbol for r in got if r.back_to is not None}
+    assert set(edges) <= loops and {(v, s) for (v, _), s in edges.items()} <= loops and bool(edges) == bool(loops)
+
+
+@pytest.mark.parametrize("bound", [50, 100_000])
+def test_deep_chains_and_large_loops(spark, bound):
+    rows = [("e", k, f"C{k:05d}", "x", None, None, f"C{k - 1:05d}" if k else None) for k in range(3000)]
+    rows += [("e", k, f"L{k:03d}", "x", None, None, f"L{(k + 1) % 200:03d}") for k in range(200)] + [("e", k, f"M{k:03d}", "x", None, None, "L007" if k == 0 else f"M{k - 1:03d}") for k in range(300)]
+    rows += [("e", 0, "OWN", "x", None, None, "OWN"), ("e", 0, "O1", "x", None, None, "GONE"), *[("e", k, f"O{k}", "x", None, None, f"O{k - 1}") for k in range(2, 90)]]
+    got = {r.symbol: r for r in hierarchy(spark.createDataFrame(rows, CPC), bound).collect()}
+    assert len(got) == len(rows) and got["C02999"].depth == 2999 and got["C02999"].path[0] == got["C02999"].root == "C00000" and got["C02999"].path[1500] == "C01500"
+    assert {s for s, r in got.items() if r.on_loop} == {f"L{k:03d}" for k in range(200)} | {"OWN"} and {s for s, r in got.items() if r.status == "cycle"} == {f"L{k:03d}" for k in range(200)} | {f"M{k:03d}" for k in range(300)} | {"OWN"}
+    assert {(s, r.back_to) for s, r in got.items() if r.back_to} == {("L001", "L000"), ("OWN", "OWN")}
+    assert got["O89"].status == "orphan" and got["O89"].depth == 88 and got["O89"].root == "O1"
 
 
 def test_hierarchy_of_an_empty_table(spark):
