@@ -10,12 +10,12 @@ strings that look like special tokens are ordinary text; a repeated doc_id gives
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from terrane.runtime import ship
 
@@ -24,12 +24,13 @@ TOKENIZER_DIR = "/opt/tokenizers"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 NONE = 1 << 60
 MEMORY = 200_000
+_SENT: set[tuple[str, str]] = set()
 
 
 @lru_cache(maxsize=4)
-def ranks(folder: str, name: str) -> dict[bytes, int]:
+def ranks(path: str) -> dict[bytes, int]:
     out = {}
-    with open(Path(folder) / f"{name}.tiktoken", "rb") as f:
+    with open(path, "rb") as f:
         for line in f:
             token, rank = line.split()
             out[base64.b64decode(token)] = int(rank)
@@ -95,16 +96,14 @@ def merged(piece: bytes, rank: dict[bytes, int]) -> list[int]:
 class Encoder:
     """Text to ids; pre-tokens seen before are remembered, up to a bounded number."""
 
-    def __init__(self, folder: str = TOKENIZER_DIR, name: str = "byte_bpe_50k"):
+    def __init__(self, path: str = f"{TOKENIZER_DIR}/byte_bpe_50k.tiktoken"):
         import regex
 
-        self.rank, self.split = ranks(folder, name), regex.compile(PATTERN)
+        self.rank, self.split = ranks(path), regex.compile(PATTERN)
         self.memory: dict[str, list[int]] = {}
 
-    def encode(self, text: str | None) -> list[int]:
-        out: list[int] = []
-        if not text:
-            return out
+    def pieces(self, text: str) -> Iterator[list[int]]:
+        """Ids of each pre-token of a text."""
         memory = self.memory
         for piece in self.split.findall(text):
             ids = memory.get(piece)
@@ -116,20 +115,41 @@ class Encoder:
                     memory.clear()
                 if len(piece) <= 64:
                     memory[piece] = ids
-            out.extend(ids)
-        return out
+            yield ids
+
+    def encode(self, text: str | None) -> list[int]:
+        return [i for ids in self.pieces(text) for i in ids] if text else []
+
+    def count(self, text: str | None) -> int:
+        return sum(map(len, self.pieces(text))) if text else 0
+
+
+def encoder(spark: SparkSession, folder: str | None = None, name: str = "byte_bpe_50k") -> Callable[[], Encoder]:
+    """How an executor makes an encoder: the driver's vocabulary file goes to the executors with the application."""
+    ship(spark)
+    path = str(Path(folder or TOKENIZER_DIR) / f"{name}.tiktoken")
+    if (known := (spark.sparkContext.applicationId, path)) not in _SENT:
+        spark.sparkContext.addFile(path)
+        _SENT.add(known)
+
+    def make() -> Encoder:
+        from pyspark import SparkFiles
+
+        return Encoder(SparkFiles.get(f"{name}.tiktoken"))
+
+    return make
 
 
-def encode_corpus(documents: DataFrame, folder: str = TOKENIZER_DIR, name: str = "byte_bpe_50k") -> DataFrame:
+def encode_corpus(documents: DataFrame, folder: str | None = None, name: str = "byte_bpe_50k") -> DataFrame:
     """p7_ids: doc_id and ids of every text."""
+    made = encoder(documents.sparkSession, folder, name)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = Encoder(folder, name)
+        enc = made()
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 part = b.slice(at, 500)
                 ids = pa.array([enc.encode(t) for t in part.column(1).to_pylist()], pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), ids], ["doc_id", "ids"])
 
-    ship(documents.sparkSession)
     return documents.select("doc_id", "text").mapInArrow(run, "doc_id bigint, ids array<int>")

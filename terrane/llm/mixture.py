@@ -8,6 +8,11 @@ documents) until all but as many as there are constraints are 0 or 1. The docume
 blocks of a source meet for a second flight, and the last two or fewer are landed by a draw that keeps
 the expected token count.
 
+Documents that alone outweigh LARGE of their source's goal would be left over by the flight, as they hardly move
+beside small ones, and then decide the total by a coin. They are a stratum with a flight and landing of its own,
+and the others' probability becomes what is still due over their size; as the stratum's expected tokens are its
+share, every document's probability over all draws stays what it was, unless the rest is too small to make up.
+
 Without a given total, T is the largest at which every present source reaches its share within its cap
 (shares of sources absent from the corpus are spread in proportion over the present ones). With a given
 total a source stops at max_repeats copies, and the report shows what it falls short.
@@ -27,33 +32,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrane.llm.bpe import TOKENIZER_DIR
-from terrane.runtime import Scratch, ship
+from terrane.llm.bpe import encoder
+from terrane.runtime import Scratch
 
 BLOCK = 2000
 LARGE = 0.005
 EPS = 1e-9
 
 
-def sizes(documents: DataFrame, folder: str = TOKENIZER_DIR, name: str = "byte_bpe_50k") -> DataFrame:
-    """doc_id, source and token count of every document, by the tokenizer's own library."""
+def sizes(documents: DataFrame, folder: str | None = None, name: str = "byte_bpe_50k") -> DataFrame:
+    """doc_id, source and token count of every document, by the encoder of ``bpe``."""
+    made = encoder(documents.sparkSession, folder, name)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        tok = Tokenizer.from_file(f"{folder}/{name}.json")
-        tok.encode_special_tokens = True
+        enc = made()
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                texts = [t or "" for t in part.column(2).to_pylist()]
-                n = [len(e.ids) for e in tok.encode_batch(texts, add_special_tokens=False)]
+            for at in range(0, b.num_rows, 1000):
+                part = b.slice(at, 1000)
+                n = [enc.count(t) for t in part.column(2).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), part.column(1), pa.array(n, pa.int64())], ["doc_id", "source", "n_tokens"])
 
-    ship(documents.sparkSession)
     return documents.select("doc_id", "source", "text").mapInArrow(run, "doc_id bigint, source string, n_tokens bigint")
 
 
@@ -124,7 +122,7 @@ def _fly(seed: int, land: bool):
     return run
 
 
-def plan(documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = 7, folder: str = TOKENIZER_DIR) -> tuple[DataFrame, DataFrame]:
+def plan(documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = 7, folder: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(mixture, sources): copies per document, and the factors and sizes per source."""
     scratch = Scratch(documents.sparkSession, "mixture")
     docs = scratch.save(sizes(documents.where("doc_id is not null and source is not null"), folder).dropDuplicates(["doc_id"]))
@@ -146,8 +144,9 @@ def plan(documents: DataFrame, targets: DataFrame, total_tokens: int | None = No
     kept = kept.withColumn("base", F.floor("factor").cast("int")).withColumn("p", F.col("factor") - F.floor("factor"))
     kept = kept.withColumn("large", F.col("n_tokens") > LARGE * F.col("factor") * F.col("size"))
     shape = "source string, block int, doc_id bigint, n_tokens bigint, p double"
-    # Documents that alone outweigh LARGE of their source's goal, fewer than 1 / (LARGE * factor) a source, are drawn
-    # first; the others' probability makes up for what came of it.
+    parts = max(1, -(-(rows.agg(F.sum("n_docs")).first()[0] or 0) // (4 * BLOCK)))  # a set number of tasks: flights cost time, not bytes
+    # Documents that alone outweigh LARGE of their source's goal, fewer than 1 / (LARGE * factor) a source, are a stratum
+    # of their own that is drawn first; what came of it is made up by the probability of the others.
     first = kept.where("large and p > 0").select("source", F.lit(-1).alias("block"), "doc_id", "n_tokens", "p")
     first = scratch.save(first.groupBy("source", "block").applyInPandas(_fly(seed, True), shape))
     drawn = first.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("p")).alias("drawn"))
@@ -156,7 +155,7 @@ def plan(documents: DataFrame, targets: DataFrame, total_tokens: int | None = No
     anew = small.join(drawn, "source", "left").select("source", p_small.alias("p"))
     block = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.ceil(F.col("of") / BLOCK)).cast("int")
     moving = kept.where("not large and p > 0").drop("p").join(anew, "source").select("source", block.alias("block"), "doc_id", "n_tokens", "p")
-    flown = scratch.save(moving.groupBy("source", "block").applyInPandas(_fly(seed, False), shape))
+    flown = scratch.save(moving.repartition(parts, "source", "block").groupBy("source", "block").applyInPandas(_fly(seed, False), shape))
     # Two documents at most are left of a block; blocks of a source meet in groups until one is left.
     blocks = flown.where("p > 0 and p < 1").agg(F.max("block")).first()[0] or 0
     done = flown.unionByName(first).where("p = 1").select("doc_id")

@@ -355,6 +355,26 @@ def test_flight_keeps_the_totals():
     assert abs((x * q).sum() - (x * p).sum()) < 1e-6 and abs(q.sum() - p.sum()) < 1e-6
 
 
+def test_large_documents_keep_their_probability():
+    """Draws of one source by the plan's two strata, and by one flight over all: totals and how often each document comes."""
+    import pandas as pd
+
+    r = np.random.default_rng(5)
+    size, p, draws = np.concatenate([r.integers(20, 200, 400), [20_000, 15_000, 9_000]]), 0.3, 400
+    goal, large = p * size.sum(), size > mixture.LARGE * p * size.sum()
+    came, totals, plain = np.zeros(len(size)), [], []
+    for seed in range(draws):
+        frame = lambda keep, q: pd.DataFrame({"source": "s", "block": 0, "doc_id": np.flatnonzero(keep), "n_tokens": size[keep], "p": q})  # noqa: E731, B023
+        drawn = lambda keep, q: mixture._fly(seed, True)(frame(keep, q)).set_index("doc_id")["p"].reindex(range(len(size)), fill_value=0).to_numpy()  # noqa: E731, B023
+        first = drawn(large, p)
+        got = first + drawn(~large, min(1, max(0, (goal - first @ size) / size[~large].sum())))
+        came += got
+        totals.append(got @ size)
+        plain.append(drawn(size > 0, p) @ size)
+    assert np.abs(came / draws - p).max() < 0.12 and abs((came / draws)[large].mean() - p) < 0.06
+    assert np.abs(np.array(totals) - goal).mean() < 0.35 * np.abs(np.array(plain) - goal).mean()
+
+
 def test_mixture_reaches_its_shares(spark, monkeypatch):
     monkeypatch.setattr(mixture, "BLOCK", 60)
     r = random.Random(4)
