@@ -145,6 +145,20 @@ def test_visible_form(text, want):
     assert lookalike.visible(text) == want
 
 
+@pytest.mark.parametrize("text,want", [
+    ("m² ½ ① ™ … µm № 5℃", "m² ½ ① ™ … µm № 5℃"), ("ⅷ", "viii"), ("𝐁𝐨𝐥𝐭", "Bolt"), ("ﷲ", "الله"), ("ำ", "ำ"), ("ㄱ", "ㄱ"), ("ĳ", "ij"), ("Ångström", "Ångström"), ("\u212bngström", "Ångström"),
+])
+def test_forms_and_signs(text, want):
+    assert lookalike.visible(text) == want
+
+
+def test_tokens_beside_other_scripts_and_repeats(spark):
+    clean = ["the device for the seal", "method for the valve", "нашел способ обнаружение засора", "հօսանք հոս հոսք"] * 5
+    rows = [{"document_id": f"c{i}", "title": t} for i, t in enumerate(clean)] + [{"document_id": "1", "title": "装置thе装置"}] * 3 + [{"document_id": "2", "title": "the vаlve هذا"}, {"document_id": "3", "title": "tհe seal device method"}, {"document_id": "4", "title": "հօսանք"}]
+    got = [(r.document_id, r.normal) for r in lookalike.normalized(docs(spark, rows)).collect()]
+    assert sorted(got) == [("1", "装置the装置"), ("2", "the valve هذا"), ("3", "the seal device method")]
+
+
 def test_lookalikes_in_context(spark):
     clean = ["the device for the seal", "method for the valve", "способ обнаружение засора", "устройство возврат тепла", "β-glucan coating", "γ-ray shield", "THE SEAL"] * 4
     odd = [("1", "thе sеal"), ("2", "ТНЕ SEAL"), ("3", "спoсоб засора"), ("4", "Β-GLUCAN COATING"), ("5", "the seal"), ("6", None), ("7", "  "), ("8", "способ")]
