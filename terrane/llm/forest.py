@@ -1,7 +1,8 @@
 """Connected groups from pairwise links: union-find within edge partitions, forests merged in rounds.
 
 Every round sends edges to bounded partitions, runs union-find inside each and keeps only a spanning
-forest as (node, root) stars. Rounds alternate between keying by the larger end of an edge (roots of
+forest as (node, root) stars. Forests meet by their nodes rather than by a fixed order of partitions, so the
+hierarchy of merges is as deep as the links need: rounds alternate between keying by the larger end of an edge (roots of
 one node meet) and by either end (chains through a node meet) until the stars no longer change.
 An end with very many edges is dealt out over chunks, each of which keeps the end itself as a member,
 so no task holds more than a bounded number of edges whatever the skew.
@@ -125,7 +126,7 @@ def connected_groups(links: DataFrame, scratch: Scratch, max_rounds: int = 60) -
 FILLERS = ("UNKNOWN", "N/A", "NA", "NONE", "NULL", "TBD", "-")
 
 
-def family_links(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+def family_links(documents: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """Links between publications and the retrieved publications themselves.
 
     Nodes are text whose first sign sorts retrieved publications before all others, so that the smallest
@@ -137,6 +138,7 @@ def family_links(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
         pub_key(F.col("publication"), F.col("publication_number_raw")).alias("pub"), "source_id",
         F.trim(F.col("family_id_simple")).alias("fid"), "family_members",
     ).where("pub is not null")
+    docs = scratch.save(docs)  # the number of a publication is read from its spelling once, not for every use
     retrieved = docs.select("pub").distinct()
     fam = docs.where(
         F.col("fid").rlike("[1-9]") & ~F.col("fid").rlike("^9{3,}$") & ~F.upper("fid").isin(*FILLERS) & F.col("source_id").isNotNull()
@@ -153,7 +155,7 @@ def family_links(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
 def family_groups(documents: DataFrame) -> DataFrame:
     """(family_key, publication_number) of every retrieved publication that isn't itself the key of its family."""
     scratch = Scratch(documents.sparkSession, "families")
-    links, _ = family_links(documents)
+    links, _ = family_links(documents, scratch)
     stars = connected_groups(links, scratch)
     return stars.where(F.substring("node", 1, 1) == "0").select(
         F.expr("substring(root, 2)").alias("family_key"), F.expr("substring(node, 2)").alias("publication_number")
