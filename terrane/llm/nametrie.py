@@ -268,8 +268,8 @@ def _organisation(names: list, trades: set[str]) -> tuple:
 
 
 def _heard(key: str, others: set[str]) -> list[str]:
-    """The other keys and, from six letters on, all keys as they sound."""
-    heard = {"~" + sound(k) for k in (key, *others)}
+    """The other keys and, from six letters on, keys as they sound: both orders of two words, else as written."""
+    heard = {"~" + sound(k) for k in ((key, *others) if len(others) < 2 else (key,))}
     return sorted(others | {k for k in heard if len(k) > 6})
 
 
@@ -485,16 +485,19 @@ def trie_join(keys: DataFrame, hot: int | None = None) -> DataFrame:
     and last p letters, p being (m - 1) // 3; it looks for keys of its own length there and one letter longer in theirs.
     Shards of more than ``hot`` members are dealt by their members less one letter.
     """
-    keys = keys.where(F.length("key") >= MINIMUM).distinct()
+    keys = Scratch(keys.sparkSession, "triekeys").save(keys.where(F.length("key") >= MINIMUM).distinct())
     want = keys.select("family", "key", F.explode(F.array(F.lit(0), F.lit(1))).alias("d")).withColumn("m", F.length("key") + F.col("d"))
     k, p = F.col("key"), F.floor((F.col("m") - 1) / 3).cast("int")
     left, right = lambda n: k.substr(F.lit(1), n), lambda n: F.right(k, n)
     shards = F.array(F.concat(F.lit("<"), left(2 * p)), F.concat(F.lit(">"), right(2 * p)), F.concat(F.lit("|"), left(p), right(p)))
     rows = want.select("family", "key", (F.col("d") == 1).alias("longer"), "m", F.explode(shards).alias("s"))
     rows = rows.select("family", F.concat_ws(" ", F.col("m").cast("string"), "s").alias("shard"), "key", "longer")
-    where = ["family", "shard"]
-    big = rows.where("not longer").groupBy(*where).count().where(F.col("count") > (hot or HOT)).select(*where)
-    if not big.isEmpty():
+    where, hot = ["family", "shard"], hot or HOT
+    # The keys of a shard share length and first or last letter, so only where that many do a shard can be hot.
+    ends = F.array(F.concat(F.lit("<"), left(F.lit(1))), F.concat(F.lit(">"), right(F.lit(1))))
+    many = keys.select("family", F.length("key").alias("m"), F.explode(ends).alias("e")).groupBy("family", "m", "e").count().where(F.col("count") > hot)
+    if not many.isEmpty():
+        big = rows.where("not longer").groupBy(*where).count().where(F.col("count") > hot).select(*where)
         less = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("key")), lambda i: F.concat(k.substr(F.lit(1), i - 1), k.substr(i + 1, F.length("key")))))
         finer = rows.join(big, where, "left_semi").select("family", "shard", "key", "longer", F.explode(F.when(F.col("longer"), F.array("key")).otherwise(less)).alias("part"))
         rows = rows.join(big, where, "left_anti").unionByName(finer.select("family", F.concat_ws(" ", "shard", "part").alias("shard"), "key", "longer"))
