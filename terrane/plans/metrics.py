@@ -1,7 +1,7 @@
 """The metric catalogue: one function per metric over families, each with its SQL twin.
 
 Choices where the catalogue leaves room: the interval of a precision or recall is Wilson's at 95 %; a year is
-complete if it ends two years before the newest publication; the recent window is the last five complete
+complete if it ends two years before the newest publication, the newest one being no later than the last with a family; the recent window is the last five complete
 years; "top" means the first ten; a segment is low if it has fewer families than the median segment; a
 family's age counts to the newest publication date. Segments are the sections of the classification.
 """
@@ -16,7 +16,7 @@ from terrane.functions.names import NAME_KEY_SQL, name_key
 from terrane.plans.base import COPIES, ITEMS, LATEST, copies, items, latest
 from terrane.plans.landscape import _COUNTS, _RECORDS, query_counts
 from terrane.plans.registry import Registry
-from terrane.runtime import table
+from terrane.runtime import Scratch, table
 
 query = Registry()
 TOP = 10
@@ -31,7 +31,7 @@ fo AS (SELECT DISTINCT fam, office FROM fd),
 fa AS (SELECT DISTINCT fam, {_KEY.format('a.name_raw')} AS applicant, a.country AS country FROM fd, unnest(applicants) AS u(a)),
 fi AS (SELECT DISTINCT fam, {_KEY.format('a.name_raw')} AS inventor, a.country AS country FROM fd, unnest(inventors) AS u(a)),
 fs AS (SELECT DISTINCT fam, left(c.code, 1) AS segment FROM fd, unnest(cpc) AS u(c)),
-lim AS (SELECT CAST(year(max(publication_date)) - 2 AS INTEGER) AS complete, max(publication_date) AS newest FROM doc),
+lim AS (SELECT CAST(least(year(max(publication_date)) - 2, (SELECT max(year) FROM fam)) AS INTEGER) AS complete, max(publication_date) AS newest FROM doc),
 ipf AS (SELECT fam FROM fo WHERE office <> 'WO' GROUP BY fam HAVING count(*) >= 2)"""
 
 
@@ -73,8 +73,10 @@ class Context:
         return self.offices().where("office <> 'WO'").groupBy("fam").agg(F.count("*").alias("n")).where("n >= 2").select("fam")
 
     def limits(self) -> DataFrame:
-        """One row: the newest complete year and the newest publication date."""
-        return latest(self.s, self.d, "publication_date").agg((F.year(F.max("publication_date")) - 2).alias("complete"), F.max("publication_date").alias("newest"))
+        """One row: the newest complete year that has families, and the newest publication date."""
+        newest = latest(self.s, self.d, "publication_date").agg(F.max("publication_date").alias("newest"))
+        last = self.families().agg(F.max("year").alias("last"))
+        return newest.crossJoin(F.broadcast(last)).select(F.least(F.year("newest") - 2, F.col("last")).alias("complete"), "newest")  # one row each
 
     def with_limits(self, df: DataFrame) -> DataFrame:
         return df.crossJoin(F.broadcast(self.limits()))  # one row beside every task
@@ -102,11 +104,17 @@ def m_query_hit_counts(s, d):
     return query_counts(s, d)
 
 
-@query(f"WITH {COPIES}, known AS (SELECT DISTINCT publication FROM family_member), got AS (SELECT DISTINCT pub FROM copies) SELECT count(*) AS known, count(pub) AS found, round(CAST(count(pub) AS DOUBLE) / count(*), 6) AS recall FROM known LEFT JOIN got ON pub = publication")
+@query(f"""WITH {COPIES}, known AS (SELECT DISTINCT publication FROM family_member WHERE publication IS NOT NULL), got AS (SELECT DISTINCT pub FROM copies),
+r AS (SELECT count(*) AS known, count(pub) AS found, round(CAST(count(pub) AS DOUBLE) / count(*), 6) AS recall FROM known LEFT JOIN got ON pub = publication)
+SELECT NULL AS missing, known, found, recall FROM r UNION ALL SELECT publication, known, found, recall FROM known ANTI JOIN got ON pub = publication, r""")
 def m_seed_recall(s, d):
-    known = table(s, d, "family_member").select(F.col("publication").alias("pub")).distinct()
-    got = copies(s, d).select("pub").distinct().withColumn("hit", F.lit(1))
-    return known.join(got, "pub", "left").agg(F.count("*").alias("known"), F.count("hit").alias("found"), share(F.count("hit"), F.count("*")).alias("recall"))
+    """How many known publications were found, and a row for each that wasn't."""
+    known = table(s, d, "family_member").select(F.col("publication").alias("pub")).where("pub is not null").distinct()
+    k = known.join(copies(s, d).select("pub").distinct().withColumn("hit", F.lit(1)), "pub", "left")
+    k = Scratch(s, "recall").save(k)
+    r = k.agg(F.count("*").alias("known"), F.count("hit").alias("found"), share(F.count("hit"), F.count("*")).alias("recall"))
+    gone = k.where("hit is null").select(F.col("pub").alias("missing")).crossJoin(F.broadcast(r))  # one row of counts
+    return r.select(F.lit(None).cast("string").alias("missing"), "known", "found", "recall").unionByName(gone)
 
 
 @query(f"WITH {COPIES}, k AS (SELECT pub, row_number() OVER (PARTITION BY pub ORDER BY retrieved_at DESC NULLS LAST, document_id DESC) AS k FROM copies) SELECT CASE WHEN k = 1 THEN 'kept' ELSE 'superseded_copy' END AS step, count(*) AS n FROM k GROUP BY 1")
@@ -230,18 +238,43 @@ def cagr(s, d):
     return both.select("start_year", "end_year", "start_n", "end_n", F.when((F.col("start_n") > 0) & (F.col("end_year") > F.col("start_year")), growth).alias("cagr"), F.when(F.col("start_n") > 0, "defined").otherwise("not defined").alias("status"))
 
 
-query.queries["m_growth_rates"], query.oracle["m_growth_rates"] = query.queries["cagr"], query.oracle["cagr"]
-
-
-@query(f"WITH {CTX}, v AS (SELECT segment, fam FROM fs UNION ALL SELECT NULL, fam FROM fam) SELECT segment, round(CAST(count(*) AS DOUBLE) / 5, 6) AS per_year FROM v JOIN fam USING (fam), lim WHERE year BETWEEN complete - 4 AND complete GROUP BY segment")
+@query(f"""WITH {CTX}, {_YEARS}, f2 AS (SELECT 'all' AS basis, fam, year FROM fam UNION ALL SELECT 'international', fam, year FROM fam SEMI JOIN ipf USING (fam)),
+y2 AS (SELECT b.basis, yr.year, count(f2.fam) AS n FROM yr CROSS JOIN (SELECT unnest(['all', 'international']) AS basis) b LEFT JOIN f2 ON f2.basis = b.basis AND f2.year = yr.year GROUP BY ALL),
+ends AS (SELECT basis, complete, n AS end_n FROM y2, lim WHERE year = complete),
+spans AS (SELECT unnest(['full', 'recent']) AS span)
+SELECT e.basis, span, s.year AS start_year, complete AS end_year, s.n AS start_n, end_n, CASE WHEN s.n > 0 AND complete > s.year THEN round(pow(CAST(end_n AS DOUBLE) / s.n, 1.0 / (complete - s.year)) - 1, 6) END AS rate, CASE WHEN s.n > 0 AND complete > s.year THEN 'defined' ELSE 'not defined' END AS status
+FROM ends e, spans JOIN y2 s ON s.basis = e.basis AND s.year = CASE span WHEN 'full' THEN (SELECT min(year) FROM yr) ELSE greatest(complete - 5, (SELECT min(year) FROM yr)) END
+UNION ALL SELECT y2.basis, 'year', p.year, y2.year, p.n, y2.n, CASE WHEN p.n > 0 THEN round(CAST(y2.n AS DOUBLE) / p.n - 1, 6) END, CASE WHEN p.n > 0 THEN 'defined' ELSE 'not defined' END FROM y2 JOIN y2 p ON p.basis = y2.basis AND p.year = y2.year - 1, lim WHERE y2.year <= complete""")
+def m_growth_rates(s, d):
+    """CAGR over the whole complete period and its last five years, and the change of every complete year, for all and for international families."""
+    c = Context(s, d)
+    fam, inter = c.families().where("year is not null").select("fam", "year"), c.international()
+    n = fam.select(F.lit("all").alias("basis"), "year").unionByName(fam.join(inter, "fam", "left_semi").select(F.lit("international").alias("basis"), "year"))
+    n = n.groupBy("basis", "year").agg(_n())  # two rows a year
+    ends = n.agg(F.min("year").alias("a"), F.max("year").alias("b"))
+    span = ends.select(F.explode(F.sequence("a", "b")).alias("year"), "a").select("year", "a", F.explode(F.array(F.lit("all"), F.lit("international"))).alias("basis"))
+    y = c.with_limits(span.join(n, ["basis", "year"], "left").na.fill(0, ["n"])).where("year <= complete")
+    end = y.where("year = complete").select("basis", F.col("year").alias("end_year"), F.col("n").alias("end_n"))
+    start = y.select("basis", F.col("year").alias("start_year"), F.col("n").alias("start_n"), F.explode(F.array_compact(F.array(F.when(F.col("year") == F.col("a"), "full"), F.when(F.col("year") == F.greatest(F.col("complete") - 5, "a"), "recent")))).alias("span"))
+    steps = y.select("basis", F.col("year").alias("end_year"), F.col("n").alias("end_n")).join(y.select("basis", F.col("year").alias("start_year"), F.col("n").alias("start_n")), "basis").where("start_year = end_year - 1")
+    both = start.join(end, "basis").unionByName(steps.withColumn("span", F.lit("year")))
+    fine = (F.col("start_n") > 0) & (F.col("end_year") > F.col("start_year"))
+    rate = F.round(F.pow(F.col("end_n").cast("double") / F.col("start_n"), 1 / (F.col("end_year") - F.col("start_year"))) - 1, 6)
+    return both.select("basis", "span", "start_year", "end_year", "start_n", "end_n", F.when(fine, rate).alias("rate"), F.when(fine, "defined").otherwise("not defined").alias("status"))
+
+
+@query(f"""WITH {CTX}, ap AS (SELECT DISTINCT fam, applicant FROM fa WHERE applicant IS NOT NULL), top AS (SELECT applicant FROM ap GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT {TOP}),
+v AS (SELECT 'segment' AS basis, segment AS value, fam FROM fs UNION ALL SELECT 'all', NULL, fam FROM fam UNION ALL SELECT 'applicant', applicant, fam FROM ap SEMI JOIN top USING (applicant))
+SELECT basis, value, round(CAST(count(*) AS DOUBLE) / 5, 6) AS per_year FROM v JOIN fam USING (fam), lim WHERE year BETWEEN complete - 4 AND complete GROUP BY 1, 2""")
 def m_filing_velocity(s, d):
+    """Families a year over the last five complete years: overall, per segment and for the top applicants."""
     c = Context(s, d)
-    f = c.with_limits(c.families()).where("year between complete - 4 and complete").select("fam")
-    by = f.join(c.segments(), "fam").groupBy("segment").agg(_n())
-    return by.unionByName(f.agg(_n()).select(F.lit(None).cast("string").alias("segment"), "n")).select("segment", F.round(F.col("n") / 5, 6).alias("per_year")).where("per_year > 0")
-
-
-query.queries["filing_velocity"], query.oracle["filing_velocity"] = query.queries["m_filing_velocity"], query.oracle["m_filing_velocity"]
+    f, ap = c.with_limits(c.families()).where("year between complete - 4 and complete").select("fam"), _ap(c)
+    top = ap.groupBy("applicant").count().orderBy(F.desc("count"), "applicant").limit(TOP).select("applicant")
+    value = lambda basis, v: [F.lit(basis).alias("basis"), v.cast("string").alias("value")]
+    rows = f.select(*value("all", F.lit(None))).unionByName(f.join(c.segments(), "fam").select(*value("segment", F.col("segment"))))
+    rows = rows.unionByName(f.join(ap.join(F.broadcast(top), "applicant", "left_semi"), "fam").select(*value("applicant", F.col("applicant"))))
+    return rows.groupBy("basis", "value").agg(F.round(F.count("*") / 5, 6).alias("per_year"))
 
 
 @query(f"WITH {CTX} SELECT year, CAST(floor(year / 5) * 5 AS INTEGER) AS phase, count(DISTINCT fam.fam) AS families, count(DISTINCT applicant) AS applicants, count(DISTINCT CASE WHEN granted THEN fam.fam END) AS granted FROM fam LEFT JOIN fa USING (fam) WHERE year IS NOT NULL GROUP BY year")
@@ -392,9 +425,15 @@ def _trend(c: Context) -> DataFrame:
     return n.withColumn("cagr", F.when(F.col("start_n") > 0, F.round(F.pow(F.col("end_n").cast("double") / F.col("start_n"), F.lit(0.2)) - 1, 6)))
 
 
-@query(f"WITH {CTX} {_TREND}")
+@query(f"""WITH {CTX}, t AS ({_TREND}), r AS (SELECT *, CASE WHEN cagr IS NOT NULL THEN CAST(rank() OVER (ORDER BY cagr DESC NULLS LAST) AS INTEGER) END AS rank FROM t)
+SELECT segment, year, count(*) AS families, start_n, end_n, cagr, rank FROM fs JOIN fam USING (fam) JOIN r USING (segment), lim WHERE year BETWEEN complete - 5 AND complete GROUP BY ALL""")
 def m_segment_trends(s, d):
-    return _trend(Context(s, d)).drop("all_n")
+    """Families of each segment in each of the last complete years, with its growth and its rank among the segments."""
+    c = Context(s, d)
+    t = _trend(c).drop("all_n")  # a row per segment
+    t = t.withColumn("rank", F.when(F.col("cagr").isNotNull(), F.rank().over(W.orderBy(F.desc_nulls_last("cagr")))))
+    years = c.with_limits(c.segments().join(c.families().select("fam", "year"), "fam")).where("year between complete - 5 and complete")
+    return years.groupBy("segment", "year").agg(_n("families")).join(t, "segment").select("segment", "year", "families", "start_n", "end_n", "cagr", "rank")
 
 
 @query(f"WITH {CTX} SELECT a.segment AS a, b.segment AS b, count(*) AS families FROM fs a JOIN fs b ON a.fam = b.fam AND a.segment < b.segment GROUP BY 1, 2")
@@ -415,11 +454,21 @@ def m_family_size_distribution(s, d):
     return o.unionByName(c.docs().groupBy("fam").agg(_n("size")).groupBy(F.lit("members").alias("basis"), "size").agg(_n("families")))
 
 
-@query(f"WITH {CTX} SELECT year, count(*) AS families, round(CAST(count(ipf.fam) AS DOUBLE) / count(*), 6) AS share FROM fam LEFT JOIN ipf USING (fam) GROUP BY ROLLUP (year) HAVING year IS NOT NULL OR grouping(year) = 1")
+_INTER = "count(*) AS families, round(CAST(count(ipf.fam) AS DOUBLE) / count(*), 6) AS share"
+
+
+@query(f"""WITH {CTX}, ac AS (SELECT DISTINCT fam, country FROM fa WHERE country IS NOT NULL)
+SELECT 'all' AS basis, NULL AS value, {_INTER} FROM fam LEFT JOIN ipf USING (fam) UNION ALL SELECT 'year', CAST(year AS VARCHAR), {_INTER} FROM fam LEFT JOIN ipf USING (fam) WHERE year IS NOT NULL GROUP BY 2
+UNION ALL SELECT 'country', country, {_INTER} FROM ac LEFT JOIN ipf USING (fam) GROUP BY 2""")
 def m_internationalisation_rate(s, d):
+    """Share of families at two offices or more: overall, per year and per country of an applicant."""
     c = Context(s, d)
-    f = c.families().select("fam", "year").join(c.international().withColumn("ipf", F.lit(1)), "fam", "left")
-    return f.rollup("year").agg(_n("families"), share(F.count("ipf"), F.count("*")).alias("share"), F.grouping("year").alias("g")).where("year is not null or g = 1").drop("g")
+    ipf = c.international().withColumn("ipf", F.lit(1))
+    f = c.families().select("fam", F.col("year").cast("string").alias("year")).join(ipf, "fam", "left")
+    ac = c.applicants().where("country is not null").select("fam", "country").distinct().join(ipf, "fam", "left")
+    part = lambda df, basis, v: df.groupBy(F.lit(basis).alias("basis"), v.alias("value")).agg(_n("families"), share(F.count("ipf"), F.count("*")).alias("share"))
+    per = part(f, "all", F.lit(None).cast("string")).unionByName(part(f.where("year is not null"), "year", F.col("year")))
+    return per.unionByName(part(ac, "country", F.col("country")))
 
 
 @query(f"WITH {CTX} SELECT count(*) AS families, count(w.fam) AS with_wo, round(CAST(count(w.fam) AS DOUBLE) / count(*), 6) AS share FROM fam LEFT JOIN (SELECT fam FROM fo WHERE office = 'WO') w USING (fam)")
@@ -435,10 +484,20 @@ def m_legal_status_distribution(s, d):
     return x.cube("year", "category").agg(_n())
 
 
-@query(f"WITH {CTX} SELECT office, count(*) AS families, round(avg(CASE WHEN granted THEN 1.0 ELSE 0.0 END), 6) AS granted_share FROM fo JOIN fam USING (fam) GROUP BY 1")
+_GRANTED = "count(*) AS families, round(avg(CASE WHEN granted THEN 1.0 ELSE 0.0 END), 6) AS granted_share"
+
+
+@query(f"""WITH {CTX}, {_AP}, top AS (SELECT applicant FROM ap GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT {TOP})
+SELECT 'office' AS basis, office AS value, {_GRANTED} FROM fo JOIN fam USING (fam) GROUP BY 2 UNION ALL SELECT 'year', CAST(year AS VARCHAR), {_GRANTED} FROM fam WHERE year IS NOT NULL GROUP BY 2
+UNION ALL SELECT 'applicant', applicant, {_GRANTED} FROM ap SEMI JOIN top USING (applicant) JOIN fam USING (fam) GROUP BY 2""")
 def m_granted_share(s, d):
+    """Share of granted families per office, per year and for the top applicants."""
     c = Context(s, d)
-    return c.offices().join(c.families().select("fam", "granted"), "fam").groupBy("office").agg(_n("families"), F.round(F.avg(F.col("granted").cast("double")), 6).alias("granted_share"))
+    f, ap = c.families().select("fam", "year", "granted"), _ap(c)
+    top = ap.groupBy("applicant").count().orderBy(F.desc("count"), "applicant").limit(TOP).select("applicant")
+    part = lambda df, basis, v: df.groupBy(F.lit(basis).alias("basis"), F.col(v).cast("string").alias("value")).agg(_n("families"), F.round(F.avg(F.col("granted").cast("double")), 6).alias("granted_share"))
+    per = part(c.offices().join(f, "fam"), "office", "office").unionByName(part(f.where("year is not null"), "year", "year"))
+    return per.unionByName(part(ap.join(F.broadcast(top), "applicant", "left_semi").join(f, "fam"), "applicant", "applicant"))
 
 
 # ---------------------------------------------------------------- citations
@@ -483,8 +542,8 @@ def percent_rank(df: DataFrame, value: str) -> DataFrame:
     return k.select(value, F.when(total > 1, below.cast("double") / (total - 1)).otherwise(0.0).alias("p"))
 
 
-@query(f"WITH {CTX}, {_CITES}, o AS (SELECT fam.fam, count(office) FILTER (WHERE office <> 'WO') AS k FROM fam LEFT JOIN fo USING (fam) GROUP BY 1), j AS (SELECT fc.fam, n, k FROM fc JOIN o USING (fam)) SELECT fam, round(0.5 * a.p + 0.3 * b.p + 0.2 * CASE WHEN granted THEN 1 ELSE 0 END, 6) AS score FROM j JOIN fam USING (fam) JOIN {_PRANK.format(v='n', t='j')} a USING (n) JOIN {_PRANK.format(v='k', t='j')} b USING (k)")
-def m_key_patent_score(s, d):
+@query(f"WITH {CTX}, {_CITES}, o AS (SELECT fam.fam, count(office) FILTER (WHERE office <> 'WO') AS k FROM fam LEFT JOIN fo USING (fam) GROUP BY 1), j AS (SELECT fc.fam, n, k FROM fc JOIN o USING (fam)) SELECT fam, round(0.5 * a.p + 0.3 * b.p + 0.2 * CASE WHEN granted THEN 1 ELSE 0 END, 6) AS score FROM j JOIN fam USING (fam) JOIN {_PRANK.format(v='n', t='j')} a USING (n) JOIN {_PRANK.format(v='k', t='j')} b USING (k)", name="key_score")
+def key_score(s, d):
     c = Context(s, d)
     o = c.docs().groupBy("fam").agg(F.count_distinct(F.when(F.col("office") != "WO", F.col("office"))).alias("k"))
     j = forward(c).join(o, "fam")
@@ -493,7 +552,13 @@ def m_key_patent_score(s, d):
     return out.select("fam", F.round(0.5 * F.col("pa") + 0.3 * F.col("pb") + 0.2 * F.col("granted").cast("int"), 6).alias("score"))
 
 
-query.queries["key_score"], query.oracle["key_score"] = query.queries["m_key_patent_score"], query.oracle["m_key_patent_score"]
+@query("SELECT fam, score, CAST(row_number() OVER (ORDER BY score DESC, first_date NULLS LAST, fam) AS INTEGER) AS rank FROM (" + query.oracle["key_score"].replace("SELECT fam, round(0.5", "SELECT fam, first_date, round(0.5") + f") ORDER BY rank LIMIT {5 * TOP}")
+def m_key_patent_score(s, d):
+    """The families of highest score; ties go to the earlier first date, then the family key."""
+    scored = key_score(s, d).join(Context(s, d).families().select("fam", "first_date"), "fam")
+    best = scored.orderBy(F.desc("score"), F.asc_nulls_last("first_date"), "fam").limit(5 * TOP)  # the feature: a ranking
+    rank = F.row_number().over(W.orderBy(F.desc("score"), F.asc_nulls_last("first_date"), "fam"))
+    return best.select("fam", "score", rank.alias("rank"))
 
 
 @query(f"WITH {CTX} SELECT office, count(*) AS citations, round(avg(CASE WHEN c.kind = 'npl' THEN 1.0 ELSE 0.0 END), 6) AS npl_share FROM fd, unnest(backward_citations) AS u(c) GROUP BY 1")
@@ -546,11 +611,27 @@ def m_top_classification_codes(s, d):
     return top.join(titles, "code", "left").select("code", "families", "recent", "title", (F.col("code").startswith("A") | F.col("code").startswith("G06N")).alias("search_code"))
 
 
-@query(f"WITH {CTX}, t AS ({_TREND}), n AS (SELECT segment, count(*) AS families FROM fs GROUP BY 1) SELECT segment, families, cagr, families < (SELECT median(families) FROM n) AND coalesce(cagr, 0) > 0 AS white_space FROM n JOIN t USING (segment)")
+@query(f"""WITH {CTX}, {_AP}, t AS ({_TREND}), n AS (SELECT segment, count(*) AS families FROM fs GROUP BY 1),
+top AS (SELECT applicant FROM ap GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT {TOP}), cov AS (SELECT DISTINCT segment, applicant FROM ap SEMI JOIN top USING (applicant) JOIN fs USING (fam)),
+pairs AS (SELECT x.segment AS a, y.segment AS b, count(*) AS k FROM fs x JOIN fs y ON x.fam = y.fam AND x.segment < y.segment GROUP BY 1, 2)
+SELECT 'small and growing' AS indicator, segment AS a, NULL AS b, families AS n FROM n JOIN t USING (segment) WHERE families <= (SELECT median(families) FROM n) AND cagr > 0
+UNION ALL SELECT 'not covered', segment, applicant, 0 FROM n, top WHERE NOT EXISTS (SELECT 1 FROM cov WHERE cov.segment = n.segment AND cov.applicant = top.applicant)
+UNION ALL SELECT 'rare pair', a, b, k FROM pairs WHERE k <= (SELECT quantile_disc(k, 0.25) FROM pairs)""")
 def m_white_space_indicators(s, d):
-    t = _trend(Context(s, d)).select("segment", F.col("all_n").alias("families"), "cagr")
-    mid = t.agg(F.median("families").alias("mid"))
-    return t.crossJoin(F.broadcast(mid)).select("segment", "families", "cagr", ((F.col("families") < F.col("mid")) & (F.coalesce("cagr", F.lit(0.0)) > 0)).alias("white_space"))
+    """Small segments that grow, top applicants missing in a segment, and the rarest quarter of pairs of segments."""
+    c = Context(s, d)
+    t, ap, seg = Scratch(s, "white").save(_trend(c)), _ap(c), c.segments()  # a row per segment
+    mid = t.agg(F.median("all_n").alias("mid"))
+    none = F.lit(None).cast("string")
+    small = t.crossJoin(F.broadcast(mid)).where("all_n <= mid and cagr > 0").select(F.lit("small and growing").alias("indicator"), F.col("segment").alias("a"), none.alias("b"), F.col("all_n").alias("n"))
+    top = ap.groupBy("applicant").count().orderBy(F.desc("count"), "applicant").limit(TOP).select("applicant")
+    covered = ap.join(F.broadcast(top), "applicant", "left_semi").join(seg, "fam").select("segment", "applicant").distinct()
+    cells = t.select("segment").crossJoin(F.broadcast(top))  # nine segments beside ten applicants
+    gaps = cells.join(covered, ["segment", "applicant"], "left_anti").select(F.lit("not covered").alias("indicator"), F.col("segment").alias("a"), F.col("applicant").alias("b"), F.lit(0).cast("bigint").alias("n"))
+    pairs = seg.select("fam", F.col("segment").alias("a")).join(seg.select("fam", F.col("segment").alias("b")), "fam").where("a < b").groupBy("a", "b").agg(_n())
+    low = pairs.withColumn("k", F.ceil(F.count("*").over(W.partitionBy(F.lit(1))) * 0.25)).withColumn("r", F.row_number().over(W.orderBy("n"))).where("r = greatest(k, 1)").select(F.col("n").alias("low"))  # 36 pairs at most
+    rare = pairs.crossJoin(F.broadcast(low)).where("n <= low").select(F.lit("rare pair").alias("indicator"), "a", "b", "n")
+    return small.unionByName(gaps).unionByName(rare)
 
 
 @query()
