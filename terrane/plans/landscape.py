@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrane.functions.names import name_key
+from terrane.functions.names import NAME_KEY_SQL, name_key
 from terrane.operators import audit, search
 from terrane.operators.graph import bfs, connected_components
 from terrane.operators.hierarchy import hierarchy
@@ -302,10 +302,12 @@ def title_search(s, d):
     return e.where("score > 0").orderBy(F.desc("score"), "symbol", "scheme_version").limit(20)
 
 
-@query("SELECT key, count(DISTINCT group_id) AS groups FROM (SELECT group_id, lower(unnest(list_append(variants, canonical))) AS key FROM alias_group) GROUP BY 1 HAVING count(DISTINCT group_id) > 1")
+@query(f"SELECT key, count(DISTINCT group_id) AS groups, count(DISTINCT group_id) > 1 AS conflict FROM (SELECT group_id, {NAME_KEY_SQL.format('raw')} AS key FROM (SELECT group_id, unnest(list_append(variants, canonical)) AS raw FROM alias_group)) WHERE key IS NOT NULL GROUP BY 1")
 def alias_conflicts(s, d):
-    v = table(s, d, "alias_group").select("group_id", F.explode(F.array_append("variants", F.col("canonical"))).alias("key")).withColumn("key", F.lower("key"))
-    return v.groupBy("key").agg(F.countDistinct("group_id").alias("groups")).where("groups > 1")
+    """Name keys of the curated groups, and whether one of them stands in two groups."""
+    v = table(s, d, "alias_group").select("group_id", F.explode(F.array_append("variants", F.col("canonical"))).alias("raw"))
+    n = F.countDistinct("group_id")
+    return v.select("group_id", name_key(F.col("raw")).alias("key")).where("key is not null").groupBy("key").agg(n.alias("groups"), (n > 1).alias("conflict"))
 
 
 @query()
@@ -332,27 +334,32 @@ def choose_candidates(s, d):
     return cand.join(top, "target", "left").select("target", "n_links", F.coalesce("why", "got", F.lit("over_cap")).alias("decision"))
 
 
+CAP = 40
+
+
 def _bfs(s, d):
     li = Scratch(s, "links").save(links(s, d))
     seed = latest(s, d).where("office = 'SE'").select(F.col("pub").alias("node"))
     allowed = li.select("target").where(F.substring("target", 1, 2).isin("US", "EP", "DE"))
-    return bfs(seed, li, allowed, hops=2, cap=1_000_000)
+    return bfs(seed, li, allowed, hops=2, cap=CAP)
+
+
+def _hop_sql(n: int, frontier: str, seen: str) -> str:
+    return f"""c{n} AS (SELECT target, count(DISTINCT document) AS k FROM link WHERE document IN (SELECT node FROM {frontier}) GROUP BY 1),
+r{n} AS (SELECT target, k, CASE WHEN target IN (SELECT node FROM {seen}) THEN 'already_requested' WHEN left(target, 2) NOT IN ('US', 'EP', 'DE') THEN 'out_of_scope' ELSE 'eligible' END AS reason FROM c{n}),
+d{n} AS (SELECT target, CASE WHEN reason = 'eligible' THEN CASE WHEN row_number() OVER (PARTITION BY reason ORDER BY k DESC, target) <= {CAP} THEN 'requested' ELSE 'over_cap' END ELSE reason END AS reason FROM r{n}),
+h{n} AS (SELECT target AS node FROM d{n} WHERE reason = 'requested')"""
+
 
+_HOPS = f"""{_LINKS}, h0 AS (SELECT pub AS node FROM doc WHERE office = 'SE'), {_hop_sql(1, 'h0', 'h0')}, s1 AS (SELECT node FROM h0 UNION SELECT node FROM h1), {_hop_sql(2, 'h1', 's1')}"""
 
-@query(f"""WITH {_LINKS}, h0 AS (SELECT pub AS node FROM doc WHERE office = 'SE'),
-h1 AS (SELECT DISTINCT target AS node FROM link WHERE document IN (SELECT node FROM h0) AND left(target, 2) IN ('US', 'EP', 'DE') AND target NOT IN (SELECT node FROM h0)),
-h2 AS (SELECT DISTINCT target AS node FROM link WHERE document IN (SELECT node FROM h1) AND left(target, 2) IN ('US', 'EP', 'DE') AND target NOT IN (SELECT node FROM h0 UNION SELECT node FROM h1))
-SELECT node, 0 AS hop FROM h0 UNION ALL SELECT node, 1 FROM h1 UNION ALL SELECT node, 2 FROM h2""")
+
+@query(f"WITH {_HOPS} SELECT node, 0 AS hop FROM h0 UNION ALL SELECT node, 1 FROM h1 UNION ALL SELECT node, 2 FROM h2")
 def bfs_hops(s, d):
     return _bfs(s, d)[0]
 
 
-@query(f"""WITH {_LINKS}, h0 AS (SELECT pub AS node FROM doc WHERE office = 'SE'),
-c1 AS (SELECT DISTINCT target FROM link WHERE document IN (SELECT node FROM h0)),
-r1 AS (SELECT target, CASE WHEN target IN (SELECT node FROM h0) THEN 'already_requested' WHEN left(target, 2) NOT IN ('US', 'EP', 'DE') THEN 'out_of_scope' ELSE 'requested' END AS reason FROM c1),
-c2 AS (SELECT DISTINCT target FROM link WHERE document IN (SELECT target FROM r1 WHERE reason = 'requested')),
-r2 AS (SELECT target, CASE WHEN target IN (SELECT node FROM h0 UNION SELECT target FROM r1 WHERE reason = 'requested') THEN 'already_requested' WHEN left(target, 2) NOT IN ('US', 'EP', 'DE') THEN 'out_of_scope' ELSE 'requested' END AS reason FROM c2)
-SELECT 1 AS hop, reason, count(*) AS n FROM r1 GROUP BY 2 UNION ALL SELECT 2, reason, count(*) FROM r2 GROUP BY 2""")
+@query(f"WITH {_HOPS} SELECT 1 AS hop, reason, count(*) AS n FROM d1 GROUP BY 2 UNION ALL SELECT 2, reason, count(*) FROM d2 GROUP BY 2")
 def exclusion_counts(s, d):
     return _bfs(s, d)[1]
 
@@ -413,13 +420,14 @@ def _tampered(events: DataFrame) -> DataFrame:
     return audit.verify(c.withColumn("payload", F.when(bad, F.concat("payload", F.lit("!"))).otherwise(F.col("payload"))).drop("k"))
 
 
-@query("SELECT l_returnflag AS dim, count(*) AS value, true AS agree FROM lineitem GROUP BY 1")
+@query("""WITH a AS (SELECT source_id AS dim, count(DISTINCT document_id) AS value FROM patent_document GROUP BY 1), b AS (SELECT source_id AS dim, count(*) AS other FROM patent_document GROUP BY 1)
+SELECT dim, value, other, value = other AS agree FROM a JOIN b USING (dim)""")
 def fact_agreement(s, d):
-    """The same fact computed by the DataFrame API and by SQL text, compared as canonical values."""
-    li = table(s, d, "lineitem")
-    one = li.groupBy(F.col("l_returnflag").alias("dim")).agg(F.count("*").alias("value"))
-    two = s.sql("SELECT l_returnflag AS dim, count(*) AS other FROM {li} GROUP BY l_returnflag", li=li)
-    return one.join(two, "dim", "full").select("dim", "value", F.col("value").eqNullSafe(F.col("other")).alias("agree"))
+    """A fact computed twice in unlike ways, documents by id and by row: where they differ both values stay as evidence."""
+    docs = table(s, d, "patent_document")
+    one = docs.groupBy(F.col("source_id").alias("dim")).agg(F.countDistinct("document_id").alias("value"))
+    two = s.sql("SELECT source_id AS dim, count(*) AS other FROM {docs} GROUP BY source_id", docs=docs)
+    return one.join(two, "dim").select("dim", "value", "other", F.col("value").eqNullSafe(F.col("other")).alias("agree"))
 
 
 @query()
@@ -448,9 +456,22 @@ def event_windows(s, d):
     return windows(e).select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n")
 
 
-@query()
+@query("""WITH e AS (SELECT event_type, time_bucket(INTERVAL 30 MINUTE, ts) AS b FROM events), w AS (SELECT event_type, unnest([b, b - INTERVAL 30 MINUTE]) AS start FROM e)
+SELECT strftime(start, '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n FROM w GROUP BY 1, 2""")
+def event_sliding(s, d):
+    """Counts of windows of an hour that begin every half hour."""
+    e = table(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    n = e.groupBy(F.window("ts", "1 hour", "30 minutes").alias("w"), "event_type").agg(F.count("*").alias("n"))
+    return n.select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n")
+
+
+@query("""WITH e AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE OR lag(ts) OVER (PARTITION BY user_id ORDER BY ts) IS NULL THEN 1 ELSE 0 END AS fresh FROM events),
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e)
+SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM s GROUP BY user_id, k""")
 def event_sessions(s, d):
-    return sessions(table(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp")))
+    """Sessions of each user, events less than half an hour apart."""
+    got = sessions(table(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp")))
+    return got.select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
 
 
 @query(f"WITH {ITEMS} SELECT DISTINCT batch_id, requested_key FROM item i WHERE requested_key IS NOT NULL AND NOT EXISTS (SELECT 1 FROM item j WHERE j.batch_id = i.batch_id AND j.requested_key = i.requested_key AND j.outcome IN ('stored', 'duplicate', 'not_found'))")

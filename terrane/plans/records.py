@@ -300,10 +300,14 @@ def title_words(s, d):
     return entries(s, d).where("title is not null").select("scheme_version", "symbol", F.array_join(F.regexp_extract_all(F.lower(bare), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), " ").alias("words"))
 
 
-@query("SELECT doc_id, lower(regexp_extract(text, '(FIG\\.|Fig\\.|Figure|Table)\\s*([0-9]+)', 1)) AS kind, regexp_extract(text, '(FIG\\.|Fig\\.|Figure|Table)\\s*([0-9]+)', 2) AS number FROM documents WHERE regexp_matches(text, '(FIG\\.|Fig\\.|Figure|Table)\\s*([0-9]+)')")
+_CAPTION = r"(?:FIG\.|Fig\.|Figure|Table|Box)\s*[0-9]+"
+
+
+@query(f"SELECT doc_id, lower(regexp_extract(m, '^[A-Za-z]+')) AS kind, regexp_extract(m, '([0-9]+)$', 1) AS number, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{_CAPTION}')) AS m FROM documents) GROUP BY ALL")
 def captions(s, d):
-    p = r"(FIG\.|Fig\.|Figure|Table)\s*([0-9]+)"
-    return table(s, d, "documents").where(F.col("text").rlike(p)).select("doc_id", F.lower(F.regexp_extract("text", p, 1)).alias("kind"), F.regexp_extract("text", p, 2).alias("number"))
+    """Figures, tables and boxes a text names, and how often."""
+    m = table(s, d, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(_CAPTION), F.lit(0))).alias("m"))
+    return m.groupBy("doc_id", F.lower(F.regexp_extract("m", "^[A-Za-z]+", 0)).alias("kind"), F.regexp_extract("m", "([0-9]+)$", 1).alias("number")).agg(F.count("*").alias("n"))
 
 
 @query("""WITH w AS (SELECT doc_id, section, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
@@ -381,11 +385,14 @@ def incomplete_flag(s, d):
     return doc.crossJoin(F.broadcast(newest)).select("pub", (F.col("publication_date") > F.add_months("newest", -18)).alias("incomplete"))
 
 
-@query(f"WITH {LATEST} SELECT pub, publication_date < filing_date AS published_early, earliest_priority_date IS DISTINCT FROM list_min(list_transform(priorities, lambda p: p.date)) AS wrong_earliest FROM doc WHERE publication_date < filing_date OR (priorities IS NOT NULL AND earliest_priority_date IS DISTINCT FROM list_min(list_transform(priorities, lambda p: p.date)))")
+@query(f"""WITH {LATEST} SELECT pub, publication_date < filing_date AS published_early, grant_date < filing_date AS granted_early, earliest_priority_date > filing_date AS priority_late,
+  CASE WHEN priorities IS NOT NULL THEN earliest_priority_date IS DISTINCT FROM list_min(list_transform(priorities, lambda p: p.date)) END AS wrong_earliest FROM doc""")
 def date_order_violations(s, d):
-    doc = latest(s, d, "publication_date", "filing_date", "earliest_priority_date", "priorities")
-    early, wrong = F.col("publication_date") < F.col("filing_date"), ~F.col("earliest_priority_date").eqNullSafe(F.array_min("priorities.date"))
-    return doc.where(early | (F.col("priorities").isNotNull() & wrong)).select("pub", early.alias("published_early"), wrong.alias("wrong_earliest"))
+    """For every latest copy which rules on the order of its dates it breaks; null where a date is missing."""
+    c = F.col
+    wrong = F.when(c("priorities").isNotNull(), ~c("earliest_priority_date").eqNullSafe(F.array_min("priorities.date")))
+    doc = latest(s, d, "publication_date", "filing_date", "grant_date", "earliest_priority_date", "priorities")
+    return doc.select("pub", (c("publication_date") < c("filing_date")).alias("published_early"), (c("grant_date") < c("filing_date")).alias("granted_early"), (c("earliest_priority_date") > c("filing_date")).alias("priority_late"), wrong.alias("wrong_earliest"))
 
 
 @query(f"WITH {LATEST} SELECT pub, len(family_members) AS n, len(list_distinct(family_members)) AS n_distinct, array_to_string(list_sort(list_distinct(family_members)), ',') AS sorted, list_contains(family_members, pub) AS self FROM doc WHERE family_members IS NOT NULL")
@@ -396,7 +403,7 @@ def array_ops(s, d):
     )
 
 
-@query()
+@query(f"WITH {LATEST} SELECT pub, array_to_string(list_sort(list_distinct(list_append(map_keys(missing), 'claims'))), ',') AS keys, missing['claims'] AS claims FROM doc WHERE missing IS NOT NULL")
 def map_ops(s, d):
     m = latest(s, d, "missing").where("missing is not null")
     added = F.when(~F.map_contains_key("missing", "claims"), F.map_concat("missing", F.create_map(F.lit("claims"), F.lit("not_requested")))).otherwise(F.col("missing"))
@@ -408,9 +415,21 @@ def canonical_rows(s, d):
     return items(s, d).select("id", F.to_json(F.struct("batch_id", "document_count", "outcome"), {"ignoreNullFields": "false"}).alias("json"))
 
 
-@query(f"WITH {ITEMS} SELECT id, sha256(batch_id || '|' || coalesce(outcome, '') || '|' || coalesce(raw_record_id, '')) AS hash FROM item")
+_ROW = """'{"batch_id":' || to_json(batch_id) || ',"detail":' || coalesce(to_json(detail), 'null') || ',"document_count":' || coalesce(CAST(document_count AS VARCHAR), 'null') || ',"outcome":' || coalesce(to_json(outcome), 'null') || ',"raw_record_id":' || coalesce(to_json(raw_record_id), 'null') || '}'"""
+
+
+@query(f"WITH {ITEMS} SELECT id, sha256({_ROW}) AS hash FROM item")
 def row_hash(s, d):
-    return items(s, d).select("id", F.sha2(F.concat_ws("|", "batch_id", F.coalesce("outcome", F.lit("")), F.coalesce("raw_record_id", F.lit(""))), 256).alias("hash"))
+    """Hash of the canonical JSON of a row: keys in order, no spaces, nulls written out."""
+    row = F.to_json(F.struct("batch_id", "detail", "document_count", "outcome", "raw_record_id"), {"ignoreNullFields": "false"})
+    return items(s, d).select("id", F.sha2(row, 256).alias("hash"))
+
+
+@query(f"WITH {ITEMS} SELECT DISTINCT batch_id, CAST(('0x' || left(md5(batch_id), 15))::BIGINT % 2147483648 AS BIGINT) AS lock FROM item WHERE batch_id IS NOT NULL")
+def lock_keys(s, d):
+    """A number below 2^31 for each batch, under which only one writer may hold it."""
+    n = F.conv(F.substring(F.md5("batch_id"), 1, 15), 16, 10).cast("bigint")
+    return items(s, d).where("batch_id is not null").select("batch_id", F.pmod(n, F.lit(2147483648)).alias("lock")).distinct()
 
 
 @query("SELECT doc_id, sha256(text) AS hash FROM documents WHERE text IS NOT NULL")

@@ -115,14 +115,6 @@ def recall_check(s, d):
     return known.join(got, ["c", "n"], "left").select("publication", F.when(F.col("hit"), "found").otherwise("not among the retrieved records").alias("result"))
 
 
-@query("""WITH k AS (SELECT DISTINCT split_part(c_name, '#', 1) || right(c_name, 3) AS key FROM customer)
-SELECT a.key AS a, b.key AS b FROM k a JOIN k b ON a.key < b.key AND left(a.key, 10) = left(b.key, 10) AND starts_with(b.key, a.key)""")
-def similar_prefix_pairs(s, d):
-    c = table(s, d, "customer").select(F.concat(F.split("c_name", "#")[0], F.expr("right(c_name, 3)")).alias("key")).distinct()
-    a, b = c.select(F.col("key").alias("a")), c.select(F.col("key").alias("b"))
-    return a.join(b, (F.substring("a", 1, 10) == F.substring("b", 1, 10)) & (F.col("a") < F.col("b")) & F.col("b").startswith(F.col("a")))
-
-
 @query(f"""WITH k AS (SELECT DISTINCT {NAME_KEY_SQL.format('raw')} AS key FROM name_key),
 s AS (SELECT key AS b, string_split(key, ' ') AS w, unnest(range(1, len(string_split(key, ' ')))) AS n FROM k WHERE key IS NOT NULL)
 SELECT k.key AS a, s.b FROM s JOIN k ON k.key = array_to_string(w[1:n], ' ')""")
@@ -379,9 +371,10 @@ def set_union(s, d):
     return table(s, d, "customer").select(F.col("c_nationkey").alias("k")).union(table(s, d, "supplier").select("s_nationkey")).distinct()
 
 
-@query("SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query(f"WITH {COPIES} SELECT DISTINCT pub FROM copies EXCEPT SELECT publication FROM dataset_document WHERE lower(trim(decision)) = 'selected'")
 def set_except(s, d):
-    return table(s, d, "customer").select(F.col("c_custkey").alias("k")).subtract(table(s, d, "orders").select("o_custkey"))
+    """Publications of which no copy was selected."""
+    return copies(s, d).select("pub").subtract(table(s, d, "dataset_document").where("lower(trim(decision)) = 'selected'").select("publication"))
 
 
 @query("SELECT l_suppkey AS k FROM lineitem WHERE l_quantity > 40 INTERSECT SELECT s_suppkey FROM supplier WHERE s_acctbal > 0")
