@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrane.functions.names import NAME_KEY_SQL, name_key
+from terrane.gateway import calls
 from terrane.operators import audit, search
 from terrane.operators.graph import bfs, connected_components
 from terrane.operators.hierarchy import hierarchy
@@ -18,6 +19,7 @@ from terrane.plans.registry import Registry
 from terrane.plans.relational import _EDGES, _LINKS, edges, links
 from terrane.plans.tree import _ENTRIES as _TREE
 from terrane.runtime import Scratch, table
+from terrane.sinks import versions
 from terrane.sources.titles import parents
 from terrane.streaming.events import resume, sessions, windows
 
@@ -430,6 +432,50 @@ def fact_agreement(s, d):
     return one.join(two, "dim").select("dim", "value", "other", F.col("value").eqNullSafe(F.col("other")).alias("agree"))
 
 
+_VERSIONED = f"{ENTRIES}, v AS (SELECT symbol AS name, CAST(replace(scheme_version, '.', '') AS INTEGER) AS version, min(coalesce(title, '')) AS content, min(kind) AS kind FROM entry GROUP BY 1, 2)"
+
+
+def _versions(s, d) -> DataFrame:
+    """Every title as a version of its symbol, numbered by edition."""
+    v = entries(s, d).select(F.col("symbol").alias("name"), F.replace("scheme_version", F.lit("."), F.lit("")).cast("int").alias("version"), F.coalesce("title", F.lit("")).alias("content"), "kind")
+    parent = F.lit(None).cast("int")
+    return v.select("name", "version", parent.alias("parent"), "content", F.sha2("content", 256).alias("sha256"), F.lit("office").alias("author"), "kind")
+
+
+@query(f"WITH {_VERSIONED} SELECT name, max(version) AS version, arg_max(content, version) AS content FROM v GROUP BY 1")
+def vst_newest(s, d):
+    """The newest version of every entry."""
+    return versions.newest(_versions(s, d)).select("name", "version", "content")
+
+
+@query(f"WITH {_VERSIONED} SELECT name, max(version) AS version, arg_max(content, version) AS content FROM v WHERE kind IN ('main_group', 'subgroup') AND version % 2 = 0 GROUP BY 1")
+def vst_approved(s, d):
+    """The newest approved version of every entry: groups are approved, those of odd editions rejected again."""
+    v = _versions(s, d)
+    groups = v.where("kind in ('main_group', 'subgroup')").select("name", "version")
+    decisions = groups.select("name", "version", F.lit("approved").alias("decision"), F.lit(1).alias("at"))
+    decisions = decisions.unionByName(groups.where("version % 2 = 1").select("name", "version", F.lit("rejected").alias("decision"), F.lit(2).alias("at")))
+    return versions.approved(v, decisions).select("name", "version", "content")
+
+
+@query(f"WITH {_VERSIONED} SELECT name, version FROM v WHERE version % 7 = 0")
+def vst_broken(s, d):
+    """Versions that no longer have their hash, after some were changed."""
+    changed = _versions(s, d).withColumn("content", F.when(F.col("version") % 7 == 0, F.concat("content", F.lit("!"))).otherwise(F.col("content")))
+    return versions.broken(changed).select("name", "version")
+
+
+@query(f"WITH {LATEST} SELECT DISTINCT title AS prompt, upper(title) AS answer FROM doc WHERE title IS NOT NULL AND regexp_matches(title, '^[ -~]*$')")
+def gateway_answers(s, d):
+    """Every title put to a model once, half of the answers being cached; the model here writes capitals."""
+    rows = latest(s, d, "title").where(F.col("title").rlike("^[ -~]*$")).select(F.col("title").alias("prompt"))
+    model, scratch = calls.Model("stub", "none", "capitals"), Scratch(s, "answers")
+    empty = s.createDataFrame([], "key string, answer string")
+    half = scratch.save(calls.complete(rows.where(F.pmod(F.xxhash64("prompt"), F.lit(2)) == 0), model, lambda: str.upper, empty)[1])
+    asked, new = calls.complete(rows, model, lambda: str.upper, half)
+    return calls.answered(asked, half.unionByName(scratch.save(new))).select("prompt", "answer")
+
+
 @query()
 def token_bucket(s, d):
     """Start times under a limit of 20 requests a minute, per source of requests (a stateful scan of each)."""
