@@ -43,8 +43,10 @@ def chain(events: DataFrame) -> DataFrame:
 
 
 def verify(chained: DataFrame) -> DataFrame:
-    """First bad event of each run, or none: (run_id, events, first_bad)."""
+    """(run_id, events, first_bad, reason) of each run: the first event whose link or content isn't what it should be, if any."""
     before = F.lag("hash", 1, GENESIS).over(W.partitionBy("run_id").orderBy("seq"))
     own = F.sha2(F.concat_ws("|", "prev_hash", "payload"), 256)
-    seen = chained.withColumn("bad", (F.col("prev_hash") != before) | (F.col("hash") != own))
-    return seen.groupBy("run_id").agg(F.count("*").alias("events"), F.min(F.when(F.col("bad"), F.col("seq"))).alias("first_bad"))
+    reason = F.when(F.col("prev_hash") != before, "link").when(F.col("hash") != own, "content")
+    seen = chained.withColumn("reason", reason)
+    bad = F.when(F.col("reason").isNotNull(), F.col("seq"))
+    return seen.groupBy("run_id").agg(F.count("*").alias("events"), F.min(bad).alias("first_bad"), F.min_by("reason", bad).alias("reason"))

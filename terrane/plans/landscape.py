@@ -378,48 +378,40 @@ def reconcile(s, d):
     )
 
 
-_CHAIN = """ev AS (SELECT 'user_' || user_id AS run_id, event_id AS seq, event_type || ':' || event_id AS payload, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events WHERE event_type = 'purchase'),
+_CHAIN = """ev AS (SELECT 'user_' || user_id AS run_id, event_id AS seq, event_type || ':' || event_id AS payload, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
 ch AS (SELECT run_id, seq, payload, k, repeat('0', 64) AS prev_hash, sha256(repeat('0', 64) || '|' || payload) AS hash FROM ev WHERE k = 1
   UNION ALL SELECT e.run_id, e.seq, e.payload, e.k, c.hash, sha256(c.hash || '|' || e.payload) FROM ch c JOIN ev e ON e.run_id = c.run_id AND e.k = c.k + 1)"""
 
 
-def _events(s, d, only: str | None = "purchase"):
-    """Events as a chain takes them: of one type, as in the SQL of audit_chain and chain_verify, or all."""
-    e = table(s, d, "events")
-    if only is not None:
-        e = e.where(F.col("event_type") == only)
-    return e.select(F.concat(F.lit("user_"), F.col("user_id").cast("string")).alias("run_id"), F.col("event_id").alias("seq"), F.concat_ws(":", "event_type", F.col("event_id").cast("string")).alias("payload"))
+def _events(s, d) -> DataFrame:
+    return table(s, d, "events").select(
+        F.concat(F.lit("user_"), F.col("user_id").cast("string")).alias("run_id"), F.col("event_id").alias("seq"), F.concat_ws(":", "event_type", F.col("event_id").cast("string")).alias("payload")
+    )
 
 
 @query(f"WITH RECURSIVE {_CHAIN} SELECT run_id, seq, payload, prev_hash, hash FROM ch")
 def audit_chain(s, d):
+    """Every event of every user in a chain of hashes. A user's chain is one after another by definition."""
     return audit.chain(_events(s, d))
 
 
-@query(f"WITH RECURSIVE {_CHAIN} SELECT run_id, count(*) AS events, min(CASE WHEN k > 2 AND substr(run_id, -1) = '7' THEN seq END) AS first_bad FROM ch GROUP BY 1")
+@query(f"""WITH RECURSIVE {_CHAIN}, t AS (SELECT run_id, seq, substr(run_id, -1) AS e, k FROM ch)
+SELECT run_id, count(*) AS events, min(CASE WHEN e = '7' AND k > 2 OR e = '8' AND k = 4 THEN seq END) AS first_bad, CASE WHEN max(k) > 2 AND max(e) = '7' THEN 'content' WHEN max(k) > 3 AND max(e) = '8' THEN 'link' END AS reason FROM t GROUP BY 1""")
 def chain_verify(s, d):
     return _tampered(_events(s, d))
 
 
-@query()
-def audit_chain_all(s, d):
-    """audit_chain over every event of every user; the recursive SQL is kept to purchases."""
-    return audit.chain(_events(s, d, None))
-
-
-@query()
-def chain_verify_all(s, d):
-    return _tampered(_events(s, d, None))
-
-
 def _tampered(events: DataFrame) -> DataFrame:
-    """Runs ending in 7 are tampered with from their third event on; verification finds the first bad one."""
+    """Verification of chains in which runs ending in 7 have other contents from their third event on, and those ending in 8
+    lack their third event's link."""
     from pyspark.sql import Window as W
 
     k = F.row_number().over(W.partitionBy("run_id").orderBy("seq"))
     c = audit.chain(events).withColumn("k", k)
-    bad = F.col("run_id").endswith("7") & (F.col("k") > 2)
-    return audit.verify(c.withColumn("payload", F.when(bad, F.concat("payload", F.lit("!"))).otherwise(F.col("payload"))).drop("k"))
+    changed = F.col("run_id").endswith("7") & (F.col("k") > 2)
+    unlinked = F.col("run_id").endswith("8") & (F.col("k") == 4)
+    c = c.withColumn("payload", F.when(changed, F.concat("payload", F.lit("!"))).otherwise(F.col("payload")))
+    return audit.verify(c.withColumn("prev_hash", F.when(unlinked, F.lit("0" * 63 + "1")).otherwise(F.col("prev_hash"))).drop("k"))
 
 
 @query("""WITH a AS (SELECT source_id AS dim, count(DISTINCT document_id) AS value FROM patent_document GROUP BY 1), b AS (SELECT source_id AS dim, count(*) AS other FROM patent_document GROUP BY 1)

@@ -280,7 +280,7 @@ def test_similar_pairs_equal_brute_force(spark, monkeypatch, block):
 
     monkeypatch.setattr(similar, "BLOCK", block)
     r = random.Random(block)
-    keys = ["andrew braeshoxnoxglus", "andtew braeshoxnoxglus", "deixge rgleis optics", "deixgergleis optics", "sony", "sony group", "sony group holding", "sonya", "戻り配管機", "戻り配管器", "ab" * 150, "ab" * 149 + "a"]
+    keys = ["andrew braeshoxnoxglus", "andtew braeshoxnoxglus", "deixge rgleis optics", "deixgergleis optics", "kiln", "kiln group", "kiln group holding", "kilna", "戻り配管機", "戻り配管器", "ab" * 150, "ab" * 149 + "a"]
     base = ["".join(r.choice("abcdeé ") for _ in range(r.randrange(3, 40))) for _ in range(40)]
     keys += [" ".join(k.split()) for b in base for k in (b, b[1:], b[:5] + "x" + b[6:], b[3:] + b[:3], "zz" + b)]
     keys = sorted({k for k in keys if k})
@@ -292,7 +292,7 @@ def test_similar_pairs_equal_brute_force(spark, monkeypatch, block):
                 want.add((a, b, round(ratio, 3)))
     got = [tuple(x) for x in similar.similar(spark.createDataFrame([(k,) for k in [*keys, keys[0], None, ""]], "key string")).collect()]
     assert len(got) == len(set(got)) and set(got) == want
-    assert {("andrew braeshoxnoxglus", "andtew braeshoxnoxglus"), ("deixge rgleis optics", "deixgergleis optics"), ("sony", "sony group holding")} <= {(a, b) for a, b, _ in got}
+    assert {("andrew braeshoxnoxglus", "andtew braeshoxnoxglus"), ("deixge rgleis optics", "deixgergleis optics"), ("kiln", "kiln group holding")} <= {(a, b) for a, b, _ in got}
 
 
 def test_all_events_are_chained(spark):
@@ -306,17 +306,17 @@ def test_all_events_are_chained(spark):
         last[run] = hashlib.sha256(f"{prev}|{payload}".encode()).hexdigest()
         want.add((run, seq, payload, prev, last[run]))
         nth[run] = nth.get(run, 0) + 1
-        if nth[run] == 3 and run.endswith("7"):
-            bad[run] = seq
-    assert {tuple(r) for r in entry.queries()["audit_chain_all"](spark, SF).collect()} == want and len(want) == len(rows)
-    assert {tuple(r) for r in entry.queries()["chain_verify_all"](spark, SF).collect()} == {(r, n, bad.get(r)) for r, n in nth.items()}
+        if (nth[run], run[-1]) in ((3, "7"), (4, "8")):
+            bad[run] = (seq, "content" if run[-1] == "7" else "link")
+    assert {tuple(r) for r in entry.queries()["audit_chain"](spark, SF).collect()} == want and len(want) == len(rows)
+    assert {tuple(r) for r in entry.queries()["chain_verify"](spark, SF).collect()} == {(r, n, *bad.get(r, (None, None))) for r, n in nth.items()}
 
 
 def test_name_prefix_pairs(spark, tmp_path):
-    raws = ["Sony Corp.", "Sony Group", "SONY group holding Ltd", "Sonya", "Group", None, "Sony"]
+    raws = ["Kiln Corp.", "Kiln Group", "KILN group holding Ltd", "Kilna", "Group", None, "Kiln"]
     spark.createDataFrame([(r,) for r in raws], "raw string").write.parquet(f"{tmp_path}/name_key.parquet")
     got = sorted(tuple(r) for r in entry.queries()["name_prefix_pairs"](spark, str(tmp_path)).collect())
-    assert got == [("sony", "sony group"), ("sony", "sony group holding"), ("sony group", "sony group holding")]
+    assert got == [("kiln", "kiln group"), ("kiln", "kiln group holding"), ("kiln group", "kiln group holding")]
     said = compare(spark, duck(str(tmp_path)), "name_prefix_pairs", entry.queries()["name_prefix_pairs"], entry.oracle_sql()["name_prefix_pairs"], str(tmp_path))
     assert said.startswith("ok"), said
 
