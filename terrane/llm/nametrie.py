@@ -578,16 +578,19 @@ def groups(name_key: DataFrame, alias_group: DataFrame | None = None, documents:
     every_order = lambda df: df.select("uid", family.alias("family"), "key", F.explode(F.array_append("orders", F.col("key"))).alias("form"))
     forms, short_forms = every_order(whole), every_order(short)
     surnames = names.where("family is not null").select(F.lit("s:").alias("family"), F.col("family").alias("key"))
-    near = scratch.save(trie_join(forms.where("family <> 'x:'").select("family", F.col("form").alias("key")).unionByName(surnames)))
-    links = forms.select(F.col("uid").alias("a"), node(F.col("family"), F.col("form")).alias("b"))
-    links = links.unionByName(near.where("family <> 's:'").select(node(F.col("family"), F.col("a")).alias("a"), node(F.col("family"), F.col("b")).alias("b")))
+    # Each form is stood for by its least name; the combining of names with one form is done before the shuffle.
+    reps = scratch.save(forms.groupBy("family", "form").agg(F.min("uid").alias("rep"), F.bool_or(F.col("form") == F.col("key")).alias("written")))
+    near = scratch.save(trie_join(reps.where("family <> 'x:'").select("family", F.col("form").alias("key")).unionByName(surnames)))
+    links = forms.join(reps, ["family", "form"]).where("uid <> rep").select(F.col("uid").alias("a"), F.col("rep").alias("b"))
+    end = lambda c: reps.select("family", F.col("form").alias(c), F.col("rep").alias(f"rep_{c}"))
+    beside = near.where("family <> 's:'").join(end("a"), ["family", "a"]).join(end("b"), ["family", "b"])
+    links = links.unionByName(beside.where("rep_a <> rep_b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct())
     first = scratch.save(connected_groups(links, scratch))
     root_of = lambda df: df.join(first.select(F.col("node").alias("uid"), "root"), "uid", "left").withColumn("root", F.coalesce("root", "uid"))
 
     # Names with a shortened word: tied to the one entity that has keys below the prefix; if none has, words may change
     # places. For prefixes, names as written and names in any order are families of their own.
-    members = forms.where("form not like '~%'").groupBy("family", F.col("form").alias("key")).agg(F.bool_or(F.col("form") == F.col("key")).alias("written"))
-    members = root_of(members.withColumn("uid", node(F.col("family"), F.col("key")))).select("family", "key", "root", "written")
+    members = root_of(reps.where("form not like '~%'").select(F.col("rep").alias("uid"), "family", F.col("form").alias("key"), "written")).drop("uid")
     loose = lambda df: df.withColumn("family", F.concat(F.lit("~"), "family"))
     asks = short.select(family.alias("family"), "key").unionByName(loose(short_forms.select("family", F.col("form").alias("key"))))
     below = scratch.save(prefix_join(asks, members.where("written").drop("written").unionByName(loose(members.drop("written")))))
@@ -596,8 +599,9 @@ def groups(name_key: DataFrame, alias_group: DataFrame | None = None, documents:
     moved = short_forms.select("family", "key", "form").distinct().join(moved, ["family", "form"])
     moved = moved.groupBy("family", "key").agg(F.min("x").alias("x2"), F.max("y").alias("y2"))
     shorts = short.select("uid", family.alias("family"), "key", "orders").join(one, ["family", "key"], "left").join(moved, ["family", "key"], "left")
+    shorts = shorts.join(reps.select("family", F.col("form").alias("key"), "rep"), ["family", "key"], "left")
     to = F.when(F.col("x") == F.col("y"), F.col("x")).when(F.col("x").isNull() & (F.col("x2") == F.col("y2")), F.col("x2"))
-    more = shorts.select(F.col("uid").alias("a"), F.coalesce(to, node(F.col("family"), F.col("key"))).alias("b"))
+    more = shorts.select(F.col("uid").alias("a"), F.coalesce(to, "rep", node(F.col("family"), F.col("key"))).alias("b"))
     same_words = node(F.concat(F.lit("~"), "family"), F.array_min(F.array_append("orders", F.col("key"))))
     more = more.unionByName(shorts.select(F.col("uid").alias("a"), same_words.alias("b")))
 
