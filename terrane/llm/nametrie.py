@@ -539,7 +539,7 @@ def prefix_join(prefixes: DataFrame, members: DataFrame, hot: int | None = None)
     asks = prefixes.distinct()
     few = asks.where(F.length("key") < 5)
     heads = members.select("family", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.lit(4), F.length("key"))), lambda i: F.col("key").substr(F.lit(1), i))).alias("head"), "root")
-    near = heads.join(few.withColumnRenamed("key", "head"), ["family", "head"], "left_semi").groupBy("family", F.col("head").alias("key")).agg(F.min("root").alias("x"), F.max("root").alias("y"))
+    near = heads.groupBy("family", F.col("head").alias("key")).agg(F.min("root").alias("x"), F.max("root").alias("y")).join(few, ["family", "key"], "left_semi")
     five = F.col("key").substr(1, 5).alias("shard")
     asks, members = asks.where(F.length("key") >= 5).select("family", five, "key"), members.where(F.length("key") >= 5).select("family", five, "key", "root")
     members = members.join(asks.select("family", "shard").distinct(), ["family", "shard"], "left_semi")
