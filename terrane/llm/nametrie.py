@@ -91,9 +91,9 @@ HOT = 20_000
 
 def folded(text: str) -> str:
     """Lower case without accents, one spelling for umlauts and x."""
-    s = text.lower().translate(PLAIN)
+    s = text.lower()
     if not s.isascii():
-        s = "".join(c for c in unicodedata.normalize("NFD", s) if not unicodedata.combining(c))
+        s = "".join(c for c in unicodedata.normalize("NFD", s.translate(PLAIN)) if not unicodedata.combining(c))
     return s.replace("ks", "x")
 
 
@@ -210,16 +210,17 @@ def words(raw: str | None) -> list[tuple[str, str, bool]]:
     """(letters, as written, has a point) of each word, and commas as words; empty if there is no letter."""
     if not raw:
         return []
-    s = visible(raw)
-    if re.search("[A-Za-z]", s):
+    s = raw if raw.isascii() and raw.isprintable() else visible(raw)
+    if not s.isascii() and re.search("[A-Za-z]", s):
         s = "".join(w.translate(LOOKS) if re.search("[A-Za-z]", w) else w for w in re.split(r"(\W+)", s))
     s = re.sub(r"\([^)]*\)", " ", s).replace("&", " ")
     out = []
     for w in SPLIT.split(s):
-        bare = re.sub(r"[^\w']", "", w)
         if w == ",":
             out.append((",", ",", False))
-        elif re.search(r"[^\W\d_]", bare):
+        elif w.isalpha():
+            out.append((folded(w), w, False))
+        elif re.search(r"[^\W\d_]", bare := re.sub(r"[^\w']", "", w)):
             dotted = re.fullmatch(r"(?:[^\W\d_]\.)+[^\W\d_]?", w)  # initials keep their points
             out.append((folded(bare).replace("'", ""), w if dotted else bare, "." in w or "'" in w.strip("'")))
     return out if any(w != "," for w, _, _ in out) else []
