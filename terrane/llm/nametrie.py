@@ -79,7 +79,8 @@ PLAIN = str.maketrans({"ä": "ae", "ö": "oe", "ü": "ue", "ß": "ss", "æ": "ae
 SOUNDS = (("sch", "sh"), ("ph", "f"), ("ck", "k"), ("ae", "e"), ("oe", "o"), ("ue", "u"), ("ou", "u"), ("w", "v"), ("z", "s"), ("y", "i"), ("q", "k"))
 SPLIT = re.compile(r"[\s\-_/;:]+|(?<=,)|(?=,)")
 NAME = "uid string, kind string, trade string, key string, short boolean, family string, given string, initial string, middle string, orders array<string>"
-WORDS = "uid string, words array<string>, bare array<string>, point array<boolean>, legal boolean"
+WORDS = "uid string, words string, bare string, point string, legal boolean"  # lists as text, which Arrow moves faster
+BREAK = "\x1f"
 # Parameters. A word is learned from LEAST names and 1 / RARE of all, beside at least EVEN equally frequent beginnings of
 # other words; so there are at most RARE times the words of a name of them, whatever the number of names.
 LEAST, RARE, EVEN = 8, 2_000, 6.0
@@ -315,13 +316,13 @@ def _person(kept: list, names: list, lexicon: Lexicon) -> tuple:
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = [pa.string(), pa.list_(pa.string()), pa.list_(pa.string()), pa.list_(pa.bool_()), pa.bool_()]
+    kinds = [pa.string()] * 4 + [pa.bool_()]
     for b in batches:
         rows = []
         for uid, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             if told := words(raw):
                 w, bare, point = zip(*told)
-                rows.append((uid, w, bare, point, any(map(_legal, w))))
+                rows.append((uid, BREAK.join(w), BREAK.join(bare), "".join("01"[p] for p in point), any(map(_legal, w))))
         cols = list(zip(*rows)) if rows else [[]] * 5
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], [x.split()[0] for x in WORDS.split(", ")])
 
@@ -332,7 +333,8 @@ def _parse(lexicon: tuple):
         lex = Lexicon(*lexicon)
         for b in batches:
             cols = [b.column(i).to_pylist() for i in range(4)]
-            rows = [(u, *r) for u, w, bare, point in zip(*cols) for r in read(list(zip(w, bare, point)), lex)]
+            told = lambda w, bare, point: list(zip(w.split(BREAK), bare.split(BREAK), (p == "1" for p in point)))
+            rows = [(u, *r) for u, w, bare, point in zip(*cols) for r in read(told(w, bare, point), lex)]
             cols = list(zip(*rows)) if rows else [[]] * 10
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], [x.split()[0] for x in NAME.split(", ")])
 
@@ -343,7 +345,7 @@ def learned(told: DataFrame) -> tuple[set[str], set[str], dict[str, int]]:
     """Trades, given names and sets of trades of all names; few words of many names come to the driver, see the parameters."""
     n = told.count()
     skip = sorted(LEGAL | TITLES | EMPTY)
-    plain = F.filter(F.array_distinct("words"), lambda w: (F.length(w) > 2) & ~w.isin(skip))
+    plain = F.filter(F.array_distinct(F.split("words", BREAK)), lambda w: (F.length(w) > 2) & ~w.isin(skip))
     own = told.select(plain.alias("w"), "legal")
     pair = own.select(F.explode("w").alias("word"), "w", "legal")
     seen = pair.groupBy("word").agg(F.count("*").alias("n"), F.avg(F.col("legal").cast("int")).alias("legal")).where(F.col("n") >= max(LEAST, n / RARE))
