@@ -3,16 +3,22 @@
 from __future__ import annotations
 
 import datetime
+import hashlib
 import io
 import re
+import unicodedata
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
+from urllib.parse import quote
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrane.functions.ident import pub_parts, pub_text
 from terrane.operators.search import INDEXING
+from terrane.runtime import ship
 
 BAD = "_corrupt_record"
 
@@ -33,16 +39,47 @@ def records(spark: SparkSession, path: str, kind: str, schema: str, row_tag: str
     raise SourceError(f"no reader for {kind}")
 
 
+PIECE = 1 << 20
+# Letters and numbers of Latin-1.
+TEXT = re.compile(b"[" + re.escape(bytes(b for b in range(256) if unicodedata.category(chr(b))[0] in "LN")) + b"]")
+
+
+def _opened(path: str):
+    """A file by the path Spark gives: of this file system as it is, of others through Arrow."""
+    scheme, _, rest = path.partition(":")
+    if scheme == "file":
+        return open("/" + rest.lstrip("/"), "rb", buffering=0)
+    from pyarrow import fs
+
+    system, at = fs.FileSystem.from_uri(quote(re.sub("^s3[an]:", "s3:", path), safe=":/@"))
+    return system.open_input_stream(at)
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Length and hash of each file, and whether it has text; pieces of it are in memory, never the whole."""
+    for batch in batches:
+        for path in batch.column(0).to_pylist():
+            h, length, text = hashlib.sha256(), 0, False
+            with _opened(path) as f:
+                while piece := f.read(PIECE):
+                    h.update(piece)
+                    length += len(piece)
+                    text = text or TEXT.search(piece) is not None
+            yield pa.RecordBatch.from_pydict({"path": [path], "length": [length], "sha256": [h.hexdigest()], "text": [text]})
+
+
 def scan_folder(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
     """Files of a folder, also below it: name, stem, publication read from the stem, length and hash; ``problem`` says why
-    a file can't be used (no text in it, or a name that is no number). Spark lists no files of length 0."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder)
+    a file can't be used (no text in it, or a name that is no number). Spark lists no files of length 0. Files are read
+    piece by piece, so they may be of any length."""
+    ship(spark)
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder)
+    files = listed.select("path").mapInArrow(_read, "path string, length bigint, sha256 string, text boolean")
     name = F.element_at(F.split("path", "/"), -1)
     stem = F.regexp_replace(name, r"\.[^.]*$", "")
-    text = F.decode("content", "ISO-8859-1").rlike(r"[\p{L}\p{N}]")
     pub = pub_text(pub_parts(stem))
-    problem = F.when(~text, "no text").when(pub.isNull(), "no number in the name")
-    return files.select(name.alias("file"), stem.alias("stem"), pub.alias("publication"), "length", F.sha2("content", 256).alias("sha256"), problem.alias("problem"))
+    problem = F.when(~F.col("text"), "no text").when(pub.isNull(), "no number in the name")
+    return files.select(name.alias("file"), stem.alias("stem"), pub.alias("publication"), "length", "sha256", problem.alias("problem"))
 
 
 def folder_summary(scanned: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Pages, lookups, files, stored payloads, datasets and versions."""
 
 import datetime
+import hashlib
 import io
 import json
 import zipfile
@@ -141,6 +142,23 @@ def test_folder_with_problems(spark, tmp_path):
     assert (total.files, total.contents, total.problems) == (4, 2, 2)
 
 
+def test_folder_is_read_in_pieces(spark, tmp_path):
+    late = b" " * (5 << 19) + b"x"
+    (tmp_path / "NZ5500A1 100%20.bin").write_bytes(late)
+    for b in range(1, 256):
+        (tmp_path / f"{b}.sign").write_bytes(bytes([b]))
+    signs = {f"{b}.sign" for b in range(256) if chr(b).isalnum()}
+    most = "spark.sql.sources.binaryFile.maxLength"  # What Spark would read whole, it refuses beyond this.
+    spark.conf.set(most, "1")
+    try:
+        got = {r.file: r for r in files.scan_folder(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.unset(most)
+    assert len(got) == 256 and {n for n, r in got.items() if n.endswith(".sign") and r.problem != "no text"} == signs
+    large = got["NZ5500A1 100%20.bin"]
+    assert (large.length, large.sha256, large.problem) == (len(late), hashlib.sha256(late).hexdigest(), "no number in the name")
+
+
 def test_settings(tmp_path):
     f = tmp_path / "s.yaml"
     f.write_text("a: 1\nb: [x]\n")
