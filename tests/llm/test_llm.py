@@ -52,6 +52,50 @@ def test_majority_consensus_by_tokens():
     assert consensus.nearest(["x " * 3000, "x " * 2999 + "y"], [1, 1], False, cells=100) in (0, 1)
 
 
+def test_rule_of_the_latest_copy_runs_no_alignment(spark):
+    e = docs(spark, [{"document_id": k, "publication_number_raw": "EP1", "title": f"title {k}"} for k in "ab"])
+    for d, rows in ((consensus.found(e), [("EP1", "title", "b")]), (consensus.survivors(e), [("EP1", "title", "title b", None, "b", 2)])):
+        assert "MapInArrow" not in d._jdf.queryExecution().toString() and [tuple(r) for r in d.collect()] == rows
+
+
+def test_alignment_decides_where_the_latest_copy_has_several_values(spark):
+    texts = ["a red value", "a red valve", "a big valve"]
+    assert consensus.nearest(texts, [2, 2, 1], True) == 1 and consensus.nearest(texts[1::-1] + texts[2:], [2, 2, 1], True) == 0
+    assert consensus.nearest(["a b", "c d", "a d"], [2, 2, 1], True) == 0  # an earlier value is never chosen
+    at = datetime.datetime(2024, 1, 1)
+    rows = []
+    for pub, when in (("EP1", at), ("EP2", None)):
+        twice = [{"document_id": "z", "publication_number_raw": pub, "retrieved_at": when, "title": t} for t in texts[:2]]
+        old = [{"document_id": f"k{k:03d}", "publication_number_raw": pub, "title": f"a big valve {k}"} for k in range(300)]
+        rows += [*twice, *old] if when else [*old, *twice[::-1], twice[0]]
+    e = docs(spark, rows)
+    assert {tuple(r) for r in consensus.survivors(e).collect()} == {("EP1", "title", "a red valve", at, "z", 302), ("EP2", "title", "a red valve", None, "z", 303)}
+    assert {tuple(r) for r in consensus.found(e).collect()} == {("EP1", "title", "z"), ("EP2", "title", "z")}
+    assert {r.title for r in consensus.records(e).collect()} == {"a red valve"}
+
+
+def test_latest_values_equal_counting_with_whole_numbers():
+    r, moved = random.Random(27), 0
+    for _ in range(500):
+        texts = list({" ".join(r.choice("abcd") for _ in range(r.randrange(1, 8))) for _ in range(r.randrange(2, 12))})
+        levels = sorted([5, *(r.randrange(1, 6) for _ in texts[1:])], reverse=True)
+        columns = []
+        for k, seq in enumerate(t.split() for t in texts):
+            ids = {t: n for n, t in enumerate("abcd")}
+            lead = [ids[next(t for t in c if t)] for c in columns]
+            columns = [(columns[i] if i is not None else [None] * k) + [None if j is None else seq[j]] for i, j in consensus._place(lead, [ids[t] for t in seq], 10**6)]
+        far = [0] * levels.count(5)
+        for c in columns:
+            count = {}
+            for t, level in zip(c, levels):
+                count[t] = count.get(t, 0) + 100**level
+            far = [f + (t != max(count, key=count.get)) for f, t in zip(far, c)]
+        want = far.index(min(far))
+        assert consensus.nearest(texts, levels, True) == want and consensus.nearest_of_latest(zip(texts, levels)) == (want, texts[want])
+        moved += want > 0
+    assert moved > 50
+
+
 def _consensus_by_hand(values, votes):
     """Every column of the same progressive alignment decided by counting, one after another."""
     seqs, columns = [consensus.TOKEN.findall(v) for v in values], []
